@@ -3,15 +3,17 @@
 A text is the set of its distinct runs of three words; texts with the same set are one representative
 from the start, so copies cost nothing. Two sets are joined at a Jaccard similarity of 0.5.
 
-Candidates. Small (light) sets enumerate two-element subsets of their whole set. For large (heavy)
-sets all subsets would cost too much, so they are drawn from the part of their set that falls into a
-sampled universe, halved with every doubling of the set (about ``SAMPLE`` elements stay): both sides
-of a joined pair draw from the same universe, since the sizes of joined sets differ by two at most,
-and each set also posts under the next coarser universe. Only subsets of neighbours in hash order,
-at least ``APART`` words from each other in the text, are posted: two shared elements are neighbours
-in both texts often enough that of twenty chances one holds (misses below 1 in 1000 at the
-threshold, measured in the tests), and elements of different sentences do not meet by chance.
-The boundary between light and heavy is the size at which both ways post equally many subsets.
+Candidates are sets that share a two-element subset. Small (light) sets draw subsets from all their
+elements. For large (heavy) sets that would cost too much, so theirs come from the part of the set
+in a sampled universe, halved with every doubling of the set: ``LIGHT / 2`` to ``LIGHT`` elements
+stay. The sizes of joined sets differ by two at most, so a set also posts under the next coarser
+universe and every pair has a universe in common. ``LIGHT``, the boundary, is the size up to which
+subsets of the whole set cost no more than those of a sampled one. Only subsets of neighbours in
+hash order (up to ``REACH`` apart) are posted that stand ``APART`` words from each other in the
+text: of two similar sets many shared elements are neighbours in both, while elements of one sentence
+would meet in every text that has the sentence. Elements that more sets share than a part of the root of
+their number are heavy: their subsets meet by chance, so only sets with few light elements post them. A pair at the threshold is missed with a probability
+below 1 in 200, a closer one less; the tests measure recall against brute force.
 
 Links. Each subset's posting list is first compared with one centre per list only; what is found is
 closed to groups, and pairs of a list that are still in different groups are compared afterwards.
@@ -21,70 +23,175 @@ verified on the full sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.session import cut, table
 
 WORDS, RUN, SIMILARITY = 20, 3, 0.5
-SAMPLE, REACH, APART = 20, 2, 12
-#: Up to this size a set posts from its whole universe: there C(p, 2) of its prefix is no more than SAMPLE * REACH.
-LIGHT = 2 * SAMPLE
-
-
-def words(text: Column) -> Column:
-    """Maximal runs of letters and digits, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def shingle_sets(df: DataFrame, id: str = "id", text: str = "text", least_words: int = WORDS, run: int = RUN) -> DataFrame:
-    """(id, set): sorted distinct hashes of the runs of ``run`` words; shorter texts and nulls are left out."""
-    w = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), words(F.col(text)).alias("w"))
-    w = w.where(F.size("w") >= max(least_words, run))
-    at = F.sequence(F.lit(1), F.size("w") - (run - 1))
-    return w.select("id", F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, run), " "))).alias("runs"))
-
-
-def _keys(runs: Column, size: Column, level: Column) -> Column:
-    """Two-element subsets of neighbours, in hash order, of the set's part in the universe of ``level``."""
-    # first place of every element; the universe of a level is the hashes divisible by 2 ** level
-    placed = F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    inside = F.filter(placed, lambda s: F.pmod(F.shiftrightunsigned(s["h"], 7), F.call_function("shiftleft", F.lit(1).cast("long"), level)) == 0)
-    order = F.array_sort(inside)
-    # an element that comes twice keeps its first place, as places are sorted behind equal hashes
-    once = F.filter(order, lambda s, k: (k == 0) | (F.get(order, k - 1)["h"] != s["h"]))
-    return once
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """(key, id) postings of all representatives."""
-    s = sets.select("id", "runs", "n")
-    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / F.lit(LIGHT))) + 1).cast("int")
-    s = s.select("id", "runs", "n", F.explode(F.array(level, level + 1)).alias("level"))
-    s = s.select("id", "n", "level", _keys(F.col("runs"), F.col("n"), F.col("level")).alias("e"))
-    s = s.where(F.size("e") >= 2)
-    apart = F.least(F.lit(APART), F.floor(F.col("n") / 6)).cast("int")
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size("e") - 2),
-            lambda i: F.transform(
-                F.filter(F.sequence(i + 1, F.least(i + F.lit(REACH), F.size("e") - 1)), lambda j: F.abs(F.get("e", j)["i"] - F.get("e", i)["i"]) >= apart),
-                lambda j: F.xxhash64(F.get("e", i)["h"], F.get("e", j)["h"], F.col("level")),
-            ),
-        )
-    )
-    return s.select("id", F.explode(F.array_distinct(pairs)).alias("key"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, compared on the full sets."""
-    d = pairs.distinct()
+LIGHT, REACH, APART = 28, 2, 12
+#: A set with fewer light elements than this posts subsets of its heavy ones as well.
+FEW = 10
+#: Elements are heavy from this share of the root of the number of sets on.
+COMMON = 0.25
+
+WORD = re.compile(r"[^\W_]+", re.UNICODE)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingles(texts: list[str | None], least_words: int = WORDS, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first place) of the distinct word runs of each text, sorted by row and hash; short texts have none."""
+    seen: dict[str, int] = {}
+    hashes, lengths = [], []
+    for t in texts:
+        w = WORD.findall(t.lower()) if t else []
+        if len(w) < max(least_words, run):
+            w = []
+        for x in w:
+            h = seen.get(x)
+            if h is None:
+                h = seen[x] = xxhash.xxh3_64_intdigest(x)
+            hashes.append(h)
+        lengths.append(len(w))
+    n = np.array(lengths, np.int64)
+    h = np.array(hashes, np.uint64)
+    row = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    whole = place <= np.repeat(n, n) - run
+    with np.errstate(over="ignore"):
+        mix = np.zeros(max(len(h) - run + 1, 0), np.uint64)
+        for k in range(run):
+            mix = _mixed(mix * np.uint64(31) + h[k : len(h) - run + 1 + k])
+    whole = whole[: len(mix)]
+    row, place, mix = row[: len(mix)][whole], place[: len(mix)][whole], mix[whole]
+    order = np.lexsort((place, mix, row))
+    row, place, mix = row[order], place[order], mix[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (mix[1:] != mix[:-1])
+    return row[new], mix[new], place[new]
+
+
+def universe(mix: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which elements belong to the sampled universe of their set's level."""
+    return (mix >> np.uint64(7)) & ((np.uint64(1) << level.astype(np.uint64)) - np.uint64(1)) == 0
+
+
+def levels(size: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / LIGHT)).astype(np.int64) + 1)
+
+
+def subset_keys(row: np.ndarray, mix: np.ndarray, place: np.ndarray, size: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the two-element subsets that each set posts; ``heavy`` has the common elements, sorted."""
+    level = levels(size)
+    apart = np.minimum(APART, size // 6)
+    light = np.ones(len(mix), bool)
+    if len(heavy):
+        k = np.minimum(np.searchsorted(heavy, mix), len(heavy) - 1)
+        light = heavy[k] != mix
+    rows, keys = [], []
+    for more in (0, 1):
+        at = (level + more)[row]
+        inside = universe(mix, at)
+        rare = np.bincount(row[inside & light], minlength=len(size))
+        for salt, part in ((1, inside & light), (2, inside & (rare < FEW)[row])):
+            r, m, p, a = row[part], mix[part], place[part], at[part]
+            for d in range(1, REACH + 1):
+                ok = (r[d:] == r[:-d]) & (np.abs(p[d:] - p[:-d]) >= apart[r[d:]])
+                with np.errstate(over="ignore"):
+                    key = _mixed(_mixed(m[:-d][ok] + (a[:-d][ok] * 2 + salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + m[d:][ok])
+                rows.append(r[d:][ok])
+                keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def common_elements(df: DataFrame) -> np.ndarray:
+    """The heavy elements, sorted: those that more sets draw from than ``COMMON`` times the root of their number.
+
+    There can be no more of them than drawn elements divided by that root, so they fit the driver and
+    every task at any size (100 thousand for a billion elements).
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, mix, _ = shingles(batch.column(0).to_pylist())
+            size = np.bincount(row, minlength=batch.num_rows)
+            h, n = np.unique(mix[universe(mix, levels(size)[row])], return_counts=True)
+            h, n = np.append(h, np.uint64(0)), np.append(n, np.count_nonzero(size))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    c = cut(df.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 8"))
+    sets = (c.where("h = 0").agg(F.max("n")).first()[0]) or 0
+    rows = c.where((F.col("n") > max(8, COMMON * sets**0.5)) & (F.col("h") != 0)).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(rows.view(np.uint64))
+
+
+def described(df: DataFrame) -> DataFrame:
+    """(id, h1, h2, n, keys): name and size of each text's set and the subsets it posts, out of (id, text)."""
+    heavy = df.sparkSession.sparkContext.broadcast(common_elements(df))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            row, mix, place = shingles(batch.column(1).to_pylist())
+            size = np.bincount(row, minlength=len(ids))
+            some = np.flatnonzero(size)
+            if not len(some):
+                continue
+            first = (np.cumsum(size) - size)[some]
+            with np.errstate(over="ignore"):
+                h1 = np.add.reduceat(mix, first)
+                h2 = np.bitwise_xor.reduceat(_mixed(mix + np.uint64(1)), first)
+            r, k = subset_keys(row, mix, place, size, heavy.value)
+            order = np.lexsort((k, r))
+            r, k = r[order], k[order]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+            r, k = r[new], k[new]
+            count = np.bincount(r, minlength=len(ids))[some]
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[some], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size[some], pa.int32()), keys],
+                names=["id", "h1", "h2", "n", "keys"],
+            )
+
+    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int, keys array<bigint>")
+
+
+def full_sets(df: DataFrame) -> DataFrame:
+    """(id, set): the hashes of each text's word runs (32 bits of them), out of (id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, mix, _ = shingles(batch.column(1).to_pylist())
+            count = np.bincount(row, minlength=batch.num_rows)
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array((mix >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "set"])
+
+    return df.mapInArrow(run, "id bigint, set array<int>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The distinct pairs (a, b) whose sets reach the similarity, compared on the full sets; ``texts`` has (id, text)."""
+    d = cut(pairs.distinct())
+    some = d.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = full_sets(texts.join(some, "id", "left_semi").dropDuplicates(["id"]))
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    j = d.join(left, "a").join(right, "b")
-    j = j.where((F.size("sa") >= similarity * F.size("sb")) & (F.size("sb") >= similarity * F.size("sa")))
     both = F.size(F.array_intersect("sa", "sb"))
-    return j.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return d.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -117,25 +224,23 @@ def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", sim
     Null, empty and short texts are in no group; an empty table gives no rows; a repeated id is one
     text. Other columns of ``df`` are not used.
     """
-    runs = shingle_sets(df.select(F.col(id).alias("id"), F.col(text).alias("text")))
-    bare = runs.select("id", F.array_sort(F.array_distinct("runs")).alias("set"), "runs")
-    bare = bare.select("id", "set", "runs", F.xxhash64("set").alias("h1"), F.hash("set").alias("h2"), F.size("set").alias("n"))
-    copies = cut(bare.select("id", "h1", "h2", "n").distinct())
-    rep = copies.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    member = copies.join(rep, ["h1", "h2", "n"]).select("id", "rep")
-    sets = cut(bare.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "runs", "set", "n"))
-    post = cut(candidates(sets))
-    lists = post.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = lists.select("key", F.col("c.id").alias("centre"), "size")
-    live = post.join(lists, "key")
+    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    every = cut(described(texts))
+    same = Window.partitionBy("h1", "h2", "n")
+    member = cut(every.select("id", "h1", "h2", "n").distinct().withColumn("rep", F.min("id").over(same)).select("id", "rep"))
+    post = every.join(member.where("id <> rep").select("id"), "id", "left_anti").select("id", "n", F.explode("keys").alias("key"))
+    # every list with its centre and its length
+    lists = Window.partitionBy("key")
+    live = post.select("id", "key").distinct().select("id", "key", F.min("id").over(lists).alias("centre"), F.count(F.lit(1)).over(lists).alias("size"))
+    live = cut(live.where("size > 1"))
     star = live.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    first = cut(verified(star, sets, similarity))
+    first = cut(verified(star, texts, similarity))
     group = components(first)
     # what a list still has in different groups, without its centre, which is compared already
     rest = live.where("size > 2 and id <> centre").select("key", "id")
     rest = rest.join(group, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     r = rest.alias("r").join(rest.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")))
-    second = cut(verified(r.select(F.col("r.id").alias("a"), F.col("s.id").alias("b")), sets, similarity))
+    second = cut(verified(r.select(F.col("r.id").alias("a"), F.col("s.id").alias("b")), texts, similarity))
     links = first.unionByName(second)
     closed = components(links)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
