@@ -17,8 +17,9 @@ below 1 in 200, a closer one less; the tests measure recall against brute force.
 
 Links. Each subset's posting list is first compared with one centre per list only; what is found is
 closed to groups, and pairs of a list that are still in different groups are compared afterwards.
-So a list of any length that belongs to one group costs one comparison a member. Every candidate is
-verified on the full sets.
+So a list of any length that belongs to one group costs one comparison a member. A sketch of 128 sign
+bits, carried by the postings, rejects most pairs that met by chance before they are shuffled (and a
+joined pair with a probability below 1 in 1000); every other candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ LIGHT, REACH, APART = 28, 2, 12
 #: A set with fewer light elements than this posts subsets of its heavy ones as well.
 FEW = 10
 #: Elements are heavy from this share of the root of the number of sets on.
-COMMON = 0.25
+COMMON = 1.0
+#: Of 128 sign bits so many agree in a joined pair (93.7 on average, 5.0 the deviation); 67 agree by chance.
+AGREE = 77
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
@@ -136,8 +139,23 @@ def common_elements(df: DataFrame) -> np.ndarray:
     return np.sort(rows.view(np.uint64))
 
 
+def sketches(row: np.ndarray, mix: np.ndarray, some: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 sign bits of each set's random projections, as two integers."""
+    out = np.zeros((len(some), 2), np.int64)
+    first = np.cumsum(size) - size
+    for a in range(0, len(some), 2000):
+        part = some[a : a + 2000]
+        lo, hi = first[part[0]], first[part[-1]] + size[part[-1]]
+        with np.errstate(over="ignore"):
+            words = np.stack([mix[lo:hi], _mixed(mix[lo:hi] * np.uint64(5) + np.uint64(7))], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 16), axis=1)
+        total = np.add.reduceat(bits, first[part] - lo, axis=0, dtype=np.int32)
+        out[a : a + 2000] = np.packbits(2 * total > size[part][:, None], axis=1).view(np.int64)
+    return out
+
+
 def described(df: DataFrame) -> DataFrame:
-    """(id, h1, h2, n, keys): name and size of each text's set and the subsets it posts, out of (id, text)."""
+    """(id, h1, h2, n, s1, s2, keys): name, size and sketch of each text's set and the subsets it posts, out of (id, text)."""
     heavy = df.sparkSession.sparkContext.broadcast(common_elements(df))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +179,13 @@ def described(df: DataFrame) -> DataFrame:
             count = np.bincount(r, minlength=len(ids))[some]
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.view(np.int64)))
+            s = sketches(row, mix, some, size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size[some], pa.int32()), keys],
-                names=["id", "h1", "h2", "n", "keys"],
+                [pa.array(ids[some], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size[some], pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1]), keys],
+                names=["id", "h1", "h2", "n", "s1", "s2", "keys"],
             )
 
-    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int, keys array<bigint>")
+    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, keys array<bigint>")
 
 
 def full_sets(df: DataFrame) -> DataFrame:
@@ -183,6 +202,11 @@ def full_sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, set array<int>")
 
 
+def _agree(a1: str, a2: str, b1: str, b2: str):
+    x = F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))
+    return x <= 128 - AGREE
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The distinct pairs (a, b) whose sets reach the similarity, compared on the full sets; ``texts`` has (id, text)."""
     d = cut(pairs.distinct())
@@ -228,18 +252,18 @@ def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", sim
     every = cut(described(texts))
     same = Window.partitionBy("h1", "h2", "n")
     member = cut(every.select("id", "h1", "h2", "n").distinct().withColumn("rep", F.min("id").over(same)).select("id", "rep"))
-    post = every.join(member.where("id <> rep").select("id"), "id", "left_anti").select("id", "n", F.explode("keys").alias("key"))
+    post = every.join(member.where("id <> rep").select("id"), "id", "left_anti").select("id", "s1", "s2", F.explode("keys").alias("key"))
     # every list with its centre and its length
     lists = Window.partitionBy("key")
-    live = post.select("id", "key").distinct().select("id", "key", F.min("id").over(lists).alias("centre"), F.count(F.lit(1)).over(lists).alias("size"))
-    live = cut(live.where("size > 1"))
-    star = live.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    live = post.select("key", "id", "s1", "s2", F.min(F.struct("id", "s1", "s2")).over(lists).alias("c"), F.count(F.lit(1)).over(lists).alias("size"))
+    live = cut(live.where("size > 1").select("key", "id", "s1", "s2", "size", F.col("c.id").alias("centre"), F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")))
+    star = live.where("id <> centre").where(_agree("s1", "s2", "c1", "c2")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     first = cut(verified(star, texts, similarity))
     group = components(first)
     # what a list still has in different groups, without its centre, which is compared already
-    rest = live.where("size > 2 and id <> centre").select("key", "id")
-    rest = rest.join(group, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    r = rest.alias("r").join(rest.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")))
+    rest = live.where("size > 2 and id <> centre").select("key", "id", "s1", "s2")
+    rest = rest.join(group, "id", "left").select("key", "id", "s1", "s2", F.coalesce("root", "id").alias("root"))
+    r = rest.alias("r").join(rest.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")) & _agree("r.s1", "r.s2", "s.s1", "s.s2"))
     second = cut(verified(r.select(F.col("r.id").alias("a"), F.col("s.id").alias("b")), texts, similarity))
     links = first.unionByName(second)
     closed = components(links)
