@@ -28,7 +28,6 @@ def without_marks(c: Column) -> Column:
     def strip(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
 
-    # plain ASCII, the common case, never leaves the JVM's branch result unchanged
     return strip(c)
 
 
@@ -41,7 +40,7 @@ def spelled(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Lower case, transliterated, runs of other signs as one dash; null where nothing is left."""
-    s = F.trim(F.lit("-"), F.regexp_replace(without_marks(spelled(c)), "[^a-z0-9]+", "-"))
+    s = F.trim(F.regexp_replace(without_marks(spelled(c)), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(s != "", s)
 
 

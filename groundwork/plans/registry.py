@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ()
+MODULES = ("retrieval", "measurement")
 FLAGSHIP = "hybrid_topk"
 
 QUERIES: dict = {}
