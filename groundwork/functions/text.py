@@ -100,7 +100,7 @@ def keyword_hits(text: Column, keywords: Column) -> Column:
 def last_verdict(reply: Column) -> Column:
     """The last ``VERDICT:`` line of a judge's reply without its reasoning block, else ``unparsebar``."""
     bare = F.regexp_replace(reply, r"(?s)<think>.*?(?:</think>|\z)", " ")
-    found = F.element_at(F.regexp_extract_all(bare, F.lit(r"(?im)VERDICT\s*:\s*\W*(richtig|teilweise|falsch|unsicher)"), F.lit(1)), -1)
+    found = F.try_element_at(F.regexp_extract_all(bare, F.lit(r"(?im)VERDICT\s*:\s*\W*(richtig|teilweise|falsch|unsicher)"), F.lit(1)), F.lit(-1))
     return F.coalesce(F.lower(found), F.lit("unparsebar"))
 
 
