@@ -1,31 +1,30 @@
-"""Groups of near-duplicate texts by a size-aware heavy-light join on shingle sets.
+"""Groups of near-duplicate texts by an exact prefix join on shingle sets.
 
 A text is the set of its distinct runs of three words; texts with the same set are one representative
 from the start, so copies cost nothing. Two sets are joined at a Jaccard similarity of 0.5.
 
-Candidates are sets that share a two-element subset. Small (light) sets draw subsets from all their
-elements. For large (heavy) sets that would cost too much, so theirs come from the part of the set
-in a sampled universe, halved with every doubling of the set: ``LIGHT / 2`` to ``LIGHT`` elements
-stay. The sizes of joined sets differ by two at most, so a set also posts under the next coarser
-universe and every pair has a universe in common. ``LIGHT``, the boundary, is the size up to which
-subsets of the whole set cost no more than those of a sampled one. Only subsets of neighbours in
-hash order (up to ``REACH`` apart) are posted that stand ``APART`` words from each other in the
-text: of two similar sets many shared elements are neighbours in both, while elements of one sentence
-would meet in every text that has the sentence. Elements that more sets share than a part of the root of
-their number are heavy: their subsets meet by chance, so only sets with few light elements post them. A pair at the threshold is missed with a probability
-below 1 in 200, a closer one less; the tests measure recall against brute force.
-
-Links. Each subset's posting list is first compared with one centre per list only; what is found is
-closed to groups, and pairs of a list that are still in different groups are compared afterwards.
-So a list of any length that belongs to one group costs one comparison a member. A sketch of 128 sign
-bits, carried by the postings, rejects most pairs that met by chance before they are shuffled (and a
-joined pair with a probability below 1 in 1000); every other candidate is verified on the full sets.
+Candidates. All elements have one order, the rare ones first. Sets of n and m elements that are joined
+share at least ``a = ceil((n + m) / 3)``, so their first common element is at most the ``n - a``-th of
+the one and the ``m - a``-th of the other (from 0). Each set posts every element that can be this one:
+about its rarest half. How common an element is, is estimated from a sample of texts; the order only
+decides the cost, any order finds every pair.
+
+A pair of postings must fit both places, both sizes and the sketches. A sketch holds for each of 256 to
+2048 classes of elements whether the set has an odd number of them; as many classes differ at most as
+elements do, so it rejects no joined pair. Every other candidate is verified on the full sets. The join
+misses nothing but for collisions of 64-bit hashes (32 bits in the verification of one pair).
+
+Postings travel in packets, one for each batch of texts and bucket of elements, so a text's sketch goes
+once to a bucket. A list of more than ``LONG`` postings is first compared with one centre only; what is
+found is closed to groups, and members still in different groups are compared afterwards. So a list of
+any length that belongs to one group costs one comparison a member.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.llm.arrow import groups
 from groundwork.session import cut, table
 
 WORDS, RUN, SIMILARITY = 20, 3, 0.5
-LIGHT, REACH, APART = 28, 2, 12
-#: A set with fewer light elements than this posts subsets of its heavy ones as well.
-FEW = 10
-#: Elements are heavy from this share of the root of the number of sets on.
-COMMON = 1.0
-#: Of 128 sign bits so many agree in a joined pair (93.7 on average, 5.0 the deviation); 67 agree by chance.
-AGREE = 77
+#: Texts whose elements are counted for the order (about so many), and texts a bucket of elements.
+SAMPLE, BUCKET = 50_000, 50_000
+#: Longer lists are compared in two passes.
+LONG = 1000
+#: Copies that are left out by a broadcast; a join beyond.
+BROADCAST_ROWS = 500_000
+#: Classes of the largest sketch, and pairs compared at once.
+CLASSES, PAIRS = 2048, 1_000_000
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
@@ -85,84 +86,220 @@ def shingles(texts: list[str | None], least_words: int = WORDS, run: int = RUN)
     return row[new], mix[new], place[new]
 
 
-def universe(mix: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Which elements belong to the sampled universe of their set's level."""
-    return (mix >> np.uint64(7)) & ((np.uint64(1) << level.astype(np.uint64)) - np.uint64(1)) == 0
-
-
-def levels(size: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / LIGHT)).astype(np.int64) + 1)
-
-
-def subset_keys(row: np.ndarray, mix: np.ndarray, place: np.ndarray, size: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the two-element subsets that each set posts; ``heavy`` has the common elements, sorted."""
-    level = levels(size)
-    apart = np.minimum(APART, size // 6)
-    light = np.ones(len(mix), bool)
-    if len(heavy):
-        k = np.minimum(np.searchsorted(heavy, mix), len(heavy) - 1)
-        light = heavy[k] != mix
-    rows, keys = [], []
-    for more in (0, 1):
-        at = (level + more)[row]
-        inside = universe(mix, at)
-        rare = np.bincount(row[inside & light], minlength=len(size))
-        for salt, part in ((1, inside & light), (2, inside & (rare < FEW)[row])):
-            r, m, p, a = row[part], mix[part], place[part], at[part]
-            for d in range(1, REACH + 1):
-                ok = (r[d:] == r[:-d]) & (np.abs(p[d:] - p[:-d]) >= apart[r[d:]])
-                with np.errstate(over="ignore"):
-                    key = _mixed(_mixed(m[:-d][ok] + (a[:-d][ok] * 2 + salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + m[d:][ok])
-                rows.append(r[d:][ok])
-                keys.append(key)
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def common_elements(df: DataFrame) -> np.ndarray:
-    """The heavy elements, sorted: those that more sets draw from than ``COMMON`` times the root of their number.
-
-    There can be no more of them than drawn elements divided by that root, so they fit the driver and
-    every task at any size (100 thousand for a billion elements).
+def common_elements(df: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the elements that several texts of a sample have, sorted by hash; ``texts`` is their number.
+
+    The sample is of fixed size, so the table fits the driver and every task at any size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, mix, _ = shingles(batch.column(0).to_pylist())
-            size = np.bincount(row, minlength=batch.num_rows)
-            h, n = np.unique(mix[universe(mix, levels(size)[row])], return_counts=True)
-            h, n = np.append(h, np.uint64(0)), np.append(n, np.count_nonzero(size))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    c = cut(df.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 8"))
-    sets = (c.where("h = 0").agg(F.max("n")).first()[0]) or 0
-    rows = c.where((F.col("n") > max(8, COMMON * sets**0.5)) & (F.col("h") != 0)).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
-
-
-def sketches(row: np.ndarray, mix: np.ndarray, some: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """128 sign bits of each set's random projections, as two integers."""
-    out = np.zeros((len(some), 2), np.int64)
-    first = np.cumsum(size) - size
-    for a in range(0, len(some), 2000):
-        part = some[a : a + 2000]
-        lo, hi = first[part[0]], first[part[-1]] + size[part[-1]]
-        with np.errstate(over="ignore"):
-            words = np.stack([mix[lo:hi], _mixed(mix[lo:hi] * np.uint64(5) + np.uint64(7))], axis=1)
-        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 16), axis=1)
-        total = np.add.reduceat(bits, first[part] - lo, axis=0, dtype=np.int32)
-        out[a : a + 2000] = np.packbits(2 * total > size[part][:, None], axis=1).view(np.int64)
-    return out
-
-
-def described(df: DataFrame) -> DataFrame:
-    """(id, h1, h2, n, s1, s2, keys): name, size and sketch of each text's set and the subsets it posts, out of (id, text)."""
-    heavy = df.sparkSession.sparkContext.broadcast(common_elements(df))
+            h, n = np.unique(shingles(batch.column(0).to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+    some = df.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) < F.lit(1_000_003.0 * SAMPLE / max(texts, 1)))
+    c = some.select("text").mapInArrow(run, "h bigint, n int").groupBy("h").agg(F.sum("n").cast("int").alias("n")).where("n > 1").toArrow()
+    h = c.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], c.column("n").to_numpy()[order]
+
+
+def least_common(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Elements that sets of n and m elements share at least if they are joined."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+
+
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketches of sets of these sizes; sizes of joined sets give one doubling at most at 0.5."""
+    return np.where(size <= 128, 4, np.where(size <= 256, 8, np.where(size <= 512, 16, CLASSES // 64)))
+
+
+def sketches(row: np.ndarray, mix: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all sketches, where each row's begin)."""
+    width = sketch_words(size)
+    start = np.concatenate([[0], np.cumsum(width)])
+    at = start[row] * 64 + ((mix >> np.uint64(20)) % (width[row] * 64).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=start[-1] * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64), start
+
+
+#: Columns of a packet, each a packed array: per text, per posting, per word of a sketch.
+PACKET = {"ids": np.int64, "sizes": np.int32, "counts": np.int32, "keys": np.uint32, "places": np.int32, "bits": np.uint64}
+
+
+def postings(df: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets: int, similarity: float) -> DataFrame:
+    """(bucket, packet columns) of the elements that each text posts, out of (id, text)."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            row, mix, place = shingles(batch.column(1).to_pylist())
+            row, mix, _ = shingles(batch.column(1).to_pylist())
+            if not len(row):
+                continue
             size = np.bincount(row, minlength=len(ids))
+            bits, begin = sketches(row, mix, size)
+            width = sketch_words(size)
+            count = np.zeros(len(mix), np.int32)
+            if len(often):
+                k = np.minimum(np.searchsorted(often, mix), len(often) - 1)
+                count = np.where(often[k] == mix, times[k], 0)
+            order = np.lexsort((mix, count, row))
+            row, mix = row[order], mix[order]
+            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            # the least that any partner shares is a part of this set
+            post = place <= size[row] - np.ceil(similarity * size[row] - 1e-9)
+            row, mix, place = row[post], mix[post], place[post]
+            bucket = ((mix >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((row, bucket))
+            row, mix, place, bucket = row[order], mix[order], place[order], bucket[order]
+            out: dict[str, list] = {"bucket": [], **{c: [] for c in PACKET}}
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[b], cuts[b + 1])
+                some, counts = np.unique(row[part], return_counts=True)
+                w = width[some]
+                flat = np.repeat(begin[some] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+                for name, x in zip(PACKET, (ids[some], size[some], counts, mix[part] & np.uint64(0xFFFFFFFF), place[part], bits[flat])):
+                    out[name].append(x.astype(PACKET[name]).tobytes())
+                out["bucket"].append(int(b))
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in PACKET)], names=list(out))
+
+    return df.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKET))
+
+
+class Sets:
+    """Sizes and sketches of the sets of one bucket or list."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray):
+        self.ids, self.size, self.bits = ids, sizes.astype(np.int64), bits
+        self.width = sketch_words(self.size)
+        self.begin = np.cumsum(self.width) - self.width
+
+    def sketch(self, s: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of some sets in as many words; larger ones are folded."""
+        out = self.bits[self.begin[s][:, None] + np.arange(width)]
+        for fold in range(1, CLASSES // 64 // width):
+            more = np.flatnonzero(self.width[s] > fold * width)
+            if not len(more):
+                break
+            out[more] ^= self.bits[self.begin[s[more]][:, None] + fold * width + np.arange(width)]
+        return out
+
+    def fit(self, x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Which sets x and y can be joined with a first common element at places i and j."""
+        n, m = self.size[x], self.size[y]
+        least = least_common(n, m, similarity)
+        fine = np.flatnonzero((self.ids[x] != self.ids[y]) & (i <= n - least) & (j <= m - least))
+        x, y, differ = x[fine], y[fine], (n + m - 2 * least)[fine]
+        width = np.minimum(self.width[x], self.width[y])
+        keep = np.zeros(len(fine), bool)
+        for w in (4, 8, 16, CLASSES // 64):
+            p = np.flatnonzero(width == w)
+            keep[p] = np.bitwise_count(self.sketch(x[p], w) ^ self.sketch(y[p], w)).sum(axis=1, dtype=np.int64) <= differ[p]
+        return fine[keep]
+
+
+def paired(sets: Sets, of: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of sets, as one number each, of the postings a and b that fit each other."""
+    for s in range(0, len(a), PAIRS):
+        x, y = of[a[s : s + PAIRS]], of[b[s : s + PAIRS]]
+        k = sets.fit(x, place[a[s : s + PAIRS]], y, place[b[s : s + PAIRS]], similarity)
+        if len(k):
+            yield np.minimum(x[k], y[k]) * len(sets.ids) + np.maximum(x[k], y[k])
+
+
+def matches(sets: Sets, of: np.ndarray, place: np.ndarray, skip: np.ndarray, end: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of sets of each posting with those from ``skip`` on up to ``end``."""
+    left = np.flatnonzero(skip < end)
+    nxt, end = skip[left], end[left]
+    while len(left):
+        yield from paired(sets, of, place, left, nxt, similarity)
+        nxt = nxt + 1
+        more = nxt < end
+        left, nxt, end = left[more], nxt[more], end[more]
+
+
+def _distinct(sets: Sets, found: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (a, b) of the distinct pairs; repeats are dropped as they come."""
+    held: list[np.ndarray] = []
+    rows, least = 0, PAIRS
+    for f in found:
+        held.append(f)
+        rows += len(f)
+        if rows > least:
+            held = [np.unique(np.concatenate(held))]
+            rows = len(held[0])
+            least = max(PAIRS, 2 * rows)
+    p = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+    x, y = sets.ids[p // len(sets.ids)], sets.ids[p % len(sets.ids)]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+LISTED = "a bigint, b bigint, list bigint, size int, place int, bits binary"
+
+
+def _listed(a, b=None, lists=None, size=None, place=None, bits=None) -> pa.RecordBatch:
+    n = len(a)
+    cols = [(b, pa.int64()), (lists, pa.int64()), (size, pa.int32()), (place, pa.int32()), (bits, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *(pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in cols)], names=["a", "b", "list", "size", "place", "bits"])
+
+
+def candidates(packets: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
+    """Pairs (a, b) that can be joined, and with no ``b`` the postings of long lists, of which only the centre's pairs are given."""
+
+    def one(bucket: int, rows: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        c = {k: np.frombuffer(b"".join(v), PACKET[k]) for k, v in rows.items()}
+        sets = Sets(c["ids"], c["sizes"], c["bits"])
+        of = np.repeat(np.arange(len(sets.ids)), c["counts"])
+        order = np.lexsort((sets.ids[of], c["keys"]))
+        of, key, place = of[order], c["keys"][order], c["places"][order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.diff(np.append(start, len(key)))
+        end = np.repeat(start + length, length)
+        much = np.repeat(length > long, length)
+        first = np.arange(len(key)) == np.repeat(start, length)
+        rest = np.flatnonzero(much & ~first)
+        every = matches(sets, of, place, np.arange(len(key)) + 1, np.where(much, 0, end), similarity)
+        a, b = _distinct(sets, chain(every, paired(sets, of, place, np.repeat(start, length)[rest], rest, similarity)))
+        for s in range(0, len(a), 100_000):
+            yield _listed(a[s : s + 100_000], b[s : s + 100_000])
+        for s in range(0, len(rest), 10_000):
+            p = rest[s : s + 10_000]
+            w = [sets.bits[sets.begin[x] : sets.begin[x] + sets.width[x]].tobytes() for x in of[p]]
+            yield _listed(sets.ids[of[p]], None, (bucket << 32) + key[p].astype(np.int64), sets.size[of[p]], place[p], w)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["bucket"]):
+            yield from one(t.column("bucket")[0].as_py(), {k: t.column(k).to_pylist() for k in PACKET})
+
+    return packets.sortWithinPartitions("bucket").mapInArrow(run, LISTED)
+
+
+def between_groups(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of long lists that can be joined and are in different groups, out of (list, a, size, place, bits, root)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["list"]):
+            c = {k: t.column(k).to_numpy() for k in ("a", "size", "place", "root")}
+            sets = Sets(c["a"], c["size"], np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64))
+            of = np.argsort(c["root"], kind="stable")
+            skip = np.searchsorted(c["root"][of], c["root"][of], side="right")
+            a, b = _distinct(sets, matches(sets, of, c["place"][of], skip, np.full(len(of), len(of)), similarity))
+            for s in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[s : s + 100_000]), pa.array(b[s : s + 100_000])], names=["a", "b"])
+
+    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a bigint, b bigint")
+
+
+def named(df: DataFrame) -> DataFrame:
+    """(id, h1, h2, n): name and size of each text's set, out of (id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, mix, _ = shingles(batch.column(1).to_pylist())
+            size = np.bincount(row, minlength=batch.num_rows)
             some = np.flatnonzero(size)
             if not len(some):
                 continue
@@ -170,22 +307,10 @@ def described(df: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 h1 = np.add.reduceat(mix, first)
                 h2 = np.bitwise_xor.reduceat(_mixed(mix + np.uint64(1)), first)
-            r, k = subset_keys(row, mix, place, size, heavy.value)
-            order = np.lexsort((k, r))
-            r, k = r[order], k[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-            r, k = r[new], k[new]
-            count = np.bincount(r, minlength=len(ids))[some]
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.view(np.int64)))
-            s = sketches(row, mix, some, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size[some], pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1]), keys],
-                names=["id", "h1", "h2", "n", "s1", "s2", "keys"],
-            )
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[some]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size[some], pa.int32())], names=["id", "h1", "h2", "n"])
 
-    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int, s1 bigint, s2 bigint, keys array<bigint>")
+    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int")
 
 
 def full_sets(df: DataFrame) -> DataFrame:
@@ -202,11 +327,6 @@ def full_sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, set array<int>")
 
 
-def _agree(a1: str, a2: str, b1: str, b2: str):
-    x = F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))
-    return x <= 128 - AGREE
-
-
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The distinct pairs (a, b) whose sets reach the similarity, compared on the full sets; ``texts`` has (id, text)."""
     d = cut(pairs.distinct())
@@ -241,7 +361,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", similarity: float = SIMILARITY, long: int = LONG) -> DataFrame:
     """(id, root, links): the group of every text that has a near duplicate; ``root`` is a group's name.
 
     ``links`` counts the verified links of the text's representative (0 where it only has copies).
@@ -249,23 +369,24 @@ def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", sim
     text. Other columns of ``df`` are not used.
     """
     texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    every = cut(described(texts))
     same = Window.partitionBy("h1", "h2", "n")
-    member = cut(every.select("id", "h1", "h2", "n").distinct().withColumn("rep", F.min("id").over(same)).select("id", "rep"))
-    post = every.join(member.where("id <> rep").select("id"), "id", "left_anti").select("id", "s1", "s2", F.explode("keys").alias("key"))
-    # every list with its centre and its length
-    lists = Window.partitionBy("key")
-    live = post.select("key", "id", "s1", "s2", F.min(F.struct("id", "s1", "s2")).over(lists).alias("c"), F.count(F.lit(1)).over(lists).alias("size"))
-    live = cut(live.where("size > 1").select("key", "id", "s1", "s2", "size", F.col("c.id").alias("centre"), F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")))
-    star = live.where("id <> centre").where(_agree("s1", "s2", "c1", "c2")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    first = cut(verified(star, texts, similarity))
-    group = components(first)
-    # what a list still has in different groups, without its centre, which is compared already
-    rest = live.where("size > 2 and id <> centre").select("key", "id", "s1", "s2")
-    rest = rest.join(group, "id", "left").select("key", "id", "s1", "s2", F.coalesce("root", "id").alias("root"))
-    r = rest.alias("r").join(rest.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")) & _agree("r.s1", "r.s2", "s.s1", "s.s2"))
-    second = cut(verified(r.select(F.col("r.id").alias("a"), F.col("s.id").alias("b")), texts, similarity))
-    links = first.unionByName(second)
+    member = cut(named(texts).distinct().withColumn("rep", F.min("id").over(same)).select("id", "rep"))
+    copies = member.where("id <> rep").select("id")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    reps = texts.join(copies, "id", "left_anti")
+    number = member.count()
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-number // BUCKET))
+    packets = postings(reps, common_elements(reps, number), buckets, similarity).repartition(buckets, "bucket")
+    found = cut(candidates(packets, similarity, long))
+    links = cut(verified(found.where("b is not null").select("a", "b"), texts, similarity))
+    lists = found.where("b is null")
+    if lists.limit(1).count():
+        # what a long list still has in different groups
+        group = components(links).withColumnRenamed("id", "a")
+        rest = lists.join(group, "a", "left").select("list", "a", "size", "place", "bits", F.coalesce("root", "a").alias("root"))
+        links = links.unionByName(cut(verified(between_groups(rest, similarity), texts, similarity)))
     closed = components(links)
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     m = member.join(closed.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")

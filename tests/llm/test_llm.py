@@ -131,6 +131,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicate_groups(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_joined_by_common_text_only(spark):
+    # each short text is the common text of its family; the long ones have as much of their own
+    texts, families = [], 15
+    for f in range(families):
+        common = [f"gemein{f}x{k}" for k in range(54)]
+        texts.append((len(texts), " ".join(common)))
+        for i in range(30):
+            texts.append((len(texts), " ".join(common + [f"eigen{f}x{i}x{k}" for k in range(48)])))
+    d = spark.createDataFrame(texts, "id bigint, text string")
+    want = {(i, i - i % 31) for i in range(31 * families)}
+    assert {(r.id, r.root) for r in near_duplicates.near_duplicate_groups(d).collect()} == want
+    # the same with lists that are compared in two passes
+    assert {(r.id, r.root) for r in near_duplicates.near_duplicate_groups(d, long=5).collect()} == want
+
+
 def test_components_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in near_duplicates.components(e).where("id <= 40").collect()} == {0}
