@@ -1,13 +1,16 @@
 """The k most similar vectors of every vector, within its game, by randomly rotated one-bit codes.
 
-Index. A game of up to ``WHOLE`` vectors is one cell. A larger one gets about ``n / CELL`` cells by
-spherical k-means on a bounded sample (``SAMPLE`` vectors a cell, at most ``CELLS`` cells a game);
-every vector is indexed under its nearest cell and copied to the cells that probe it (the ``PROBES``
-cells nearest to each). Cells expected to be large are answered in blocks of their queries.
-
-Search. Inside a cell each vector's residual is rotated by a fixed random rotation and kept as 32
-sign bits with two correction scalars. The bits estimate all inner products; the error bound of the
-estimate leaves a short list for each query, and only that is compared exactly, in double precision.
+Games up to ``WHOLE`` vectors. Each vector's residual is rotated by a fixed random rotation and kept
+as 32 sign bits with two correction scalars. The bits estimate all inner products; the error bound of
+the estimate leaves a short list for each query, and only that is compared exactly, in double precision.
+
+Larger games. A game is a grid of blocks of queries (about ``BLOCK``, at most ``BLOCKS`` a game) and
+parts of up to ``PART`` vectors to search. A task has one block and one part, and divides the part in
+cells of about ``CELL`` vectors (spherical k-means on ``SAMPLE`` vectors a cell, at most ``CELLS``).
+Queries search their ``PROBES`` nearest cells first; what they find there bounds what a cell can still
+add, by its centre and radius, and every cell that can add something is searched too. So the result is
+exact at any size; in the worst case all vectors of a game are compared. Where a game has several
+parts, the best of each part are ranked again.
 """
 
 from __future__ import annotations
@@ -15,9 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.arrow import groups
@@ -31,6 +33,10 @@ WHOLE, CELL, CELLS, SAMPLE, PROBES, BLOCK = 4096, 512, 4096, 48, 24, 4096
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 3.0
 QUERY_ROWS = 256
+#: Vectors that a task searches, blocks of queries a game, and products held at once by one run of queries.
+PART, BLOCKS, COLUMNS = 262_144, 64, 32_768
+#: Rounding of single-precision cosines, with a margin.
+ROUNDING = 2e-6
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -101,86 +107,102 @@ def search(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int = K, tie: fl
     return np.concatenate(found), np.concatenate(mates)
 
 
-def _fit(pdf: pd.DataFrame, dim: int, cell: int, cells: int, probes: int, block: int) -> pd.DataFrame:
-    """Cells of one game from its sample: centre, and the cells (with their blocks) that a vector of it is copied to."""
-    n = int(pdf["n"].iloc[0])
-    x = np.stack(pdf["emb"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x = x[np.argsort(pdf["id"].to_numpy(), kind="stable")]
-    k = int(min(max(2, round(n / cell)), cells, len(x)))
-    c = x[np.random.default_rng(7).choice(len(x), k, replace=False)]
-    for _ in range(8):
-        at = _nearest(x, c)
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
-        size = np.linalg.norm(total, axis=1)
-        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
-    share = np.bincount(_nearest(x, c), minlength=k) * (n / len(x))
-    blocks = np.maximum(1, np.ceil(share / block)).astype(int)
-    to: list[list[dict]] = [[] for _ in range(k)]
-    p = min(probes, k)
-    for a in range(0, k, 512):
-        s = c[a : a + 512] @ c.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = 3.0
-        for r, row in enumerate(np.argpartition(-s, p - 1, axis=1)[:, :p]):
-            for other in row:
-                to[int(other)].append({"cell": a + r, "blocks": int(blocks[a + r])})
-    return pd.DataFrame({"spiel_id": pdf["spiel_id"].iloc[0], "cell": np.arange(k, dtype=np.int32), "centre": list(c.astype(np.float32)), "targets": to})
-
-
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[a : a + 8192] @ c.T, axis=1) for a in range(0, len(x), 8192)] or [np.empty(0, int)])
 
 
-def _assign(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    """Each vector with its cell and the cells it is copied to."""
-    if not len(rows) or not len(model):
-        return pd.DataFrame({"spiel_id": [], "id": [], "emb": [], "cell": [], "targets": []})
-    model = model.sort_values("cell")
-    c = np.stack(model["centre"].to_numpy()).astype(np.float64)
-    x = np.stack(rows["emb"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    at = _nearest(x, c)
-    targets = model["targets"].to_numpy()
-    return pd.DataFrame({"spiel_id": rows["spiel_id"], "id": rows["id"], "emb": rows["emb"], "cell": at.astype(np.int32), "targets": [targets[k] for k in at]})
+def _centres(x: np.ndarray, cell: int, cells: int) -> np.ndarray:
+    """Centres of about ``len(x) / cell`` cells by spherical k-means on a sample."""
+    k = int(min(max(1, round(len(x) / cell)), cells))
+    x = x[np.random.default_rng(7).permutation(len(x))[: SAMPLE * k]]
+    c = x[:k]
+    for _ in range(4):
+        total = np.zeros_like(c)
+        np.add.at(total, _nearest(x, c), x)
+        size = np.linalg.norm(total, axis=1)
+        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
+    return c
+
+
+def search_cells(
+    ids: np.ndarray, x: np.ndarray, ask: np.ndarray, base: np.ndarray, k: int = K, tie: float = TIE, cell: int = CELL, cells: int = CELLS, probes: int = PROBES
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, neighbour id, cosine) for the rows marked ``ask``, among the rows marked ``base`` (unit vectors): exact."""
+    q, b = np.flatnonzero(ask), np.flatnonzero(base)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if not len(q) or not len(b):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    c = _centres(x[b], cell, cells)
+    at = _nearest(x[b], c)
+    order = np.argsort(at, kind="stable")
+    b, at = b[order], at[order]
+    first = np.searchsorted(at, np.arange(len(c) + 1))
+    full = np.flatnonzero(np.diff(first))
+    radius = np.zeros(len(c))
+    radius[full] = np.arccos(np.clip(np.minimum.reduceat(np.einsum("nd,nd->n", x[b], c[at]), first[full]), -1, 1))
+    single = x[b].astype(np.float32)
+    q = q[np.argsort(_nearest(x[q], c), kind="stable")]
+    for a in range(0, len(q), QUERY_ROWS):
+        rows = q[a : a + QUERY_ROWS]
+        ours = x[rows].astype(np.float32)
+        to = np.clip(x[rows] @ c.T, -1, 1)
+        near = full[np.argsort(-to.max(axis=0)[full], kind="stable")[:probes]]
+        cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in near])
+        s = ours @ single[cols].T
+        # one more than k, for the query itself may be among them
+        bound = np.partition(s, -k - 1, axis=1)[:, -k - 1] if len(cols) > k else np.full(len(rows), -2.0, np.float32)
+        bound = bound - tie - ROUNDING
+        # the largest cosine that a vector of the cell can have with the query
+        most = np.cos(np.maximum(np.arccos(to) - radius - 1e-7, 0))
+        more = np.setdiff1d(full[(most >= bound[:, None]).any(axis=0)[full]], near)
+        i, j = np.nonzero(s >= bound[:, None])
+        hits = [(i, cols[j])]
+        cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in more]) if len(more) else np.empty(0, np.int64)
+        for d in range(0, len(cols), COLUMNS):
+            i, j = np.nonzero(ours @ single[cols[d : d + COLUMNS]].T >= bound[:, None])
+            hits.append((i, cols[d + j]))
+        i, j = (np.concatenate(h) for h in zip(*hits))
+        j = b[j]
+        keep = rows[i] != j
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        cos = np.einsum("nd,nd->n", x[rows[i]], x[j])
+        order = np.lexsort((-cos, i))
+        i, j, cos = i[order], j[order], cos[order]
+        start = np.searchsorted(i, np.arange(len(rows)))
+        count = np.bincount(i, minlength=len(rows))
+        least = np.where(count >= k, cos[np.minimum(start + k - 1, len(cos) - 1)], -2.0)
+        keep = cos >= least[i] - tie
+        found.append((ids[rows[i[keep]]], ids[j[keep]], cos[keep]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(f) for f in zip(*found))
 
 
-def nearest(df: DataFrame, k: int = K, whole: int = WHOLE, cell: int = CELL, cells: int = CELLS, probes: int = PROBES, block: int = BLOCK, epsilon: float = EPSILON) -> DataFrame:
+def nearest(
+    df: DataFrame, k: int = K, whole: int = WHOLE, cell: int = CELL, cells: int = CELLS, probes: int = PROBES, block: int = BLOCK, epsilon: float = EPSILON, part: int = PART
+) -> DataFrame:
     """(id, mate) of every vector and its ``k`` most similar ones in the same game, all ties included.
 
     ``df`` has ``id, spiel_id, emb`` (other columns are not used). Unusable vectors and rows without
     id or game neither ask nor answer; repeated ids are one vector; a game of up to ``k`` others gives
-    all of them. Exact in games up to ``whole`` vectors but for the error bound of the codes.
+    all of them. Exact but, in games up to ``whole`` vectors, for the error bound of the codes.
     """
     v = usable(df.select("id", "spiel_id", "emb").where("id is not null and spiel_id is not null"))
     size = v.groupBy("spiel_id").agg(F.count(F.lit(1)).alias("n"))
-    large = size.where(F.col("n") > whole)
-    blocks_of = large.select("spiel_id", "n", F.ceil(F.col("n") / 8192).cast("int").alias("parts"))
-    big = v.join(blocks_of, "spiel_id")
-    small = v.join(large, "spiel_id", "left_anti")
-    take = F.least(F.lit(float(SAMPLE) * cells) / F.col("n"), F.lit(float(SAMPLE) / cell))
-    share = (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0) < take
-    sample = big.where(share)
-    model = cut(
-        sample.groupBy("spiel_id").applyInPandas(
-            lambda p: _fit(p, DIM, cell, cells, probes, block),
-            "spiel_id string, cell int, centre array<float>, targets array<struct<cell:int,blocks:int>>",
-        )
-    )
-    games = model.select("spiel_id").distinct().join(blocks_of, "spiel_id")
-    parts = games.select("spiel_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(model, "spiel_id")
-    salted = big.select("spiel_id", "id", "emb", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("part"))
-    placed = (
-        salted.groupBy("spiel_id", "part")
-        .cogroup(parts.groupBy("spiel_id", "part"))
-        .applyInPandas(_assign, "spiel_id string, id bigint, emb array<float>, cell int, targets array<struct<cell:int,blocks:int>>")
-    )
-    copies = placed.select("spiel_id", "id", "emb", "cell", F.explode("targets").alias("t"))
-    mine = F.pmod(F.xxhash64("id", F.lit(11)), F.col("t.blocks")).cast("int")
-    copies = copies.select("spiel_id", "id", "emb", F.col("t.cell").alias("cell"), (F.col("t.cell") == F.col("cell")).alias("own"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("t.blocks") - 1)).alias("block"))
-    copies = copies.select("spiel_id", "cell", "block", "id", "emb", (F.col("own") & (F.col("mine") == F.col("block"))).alias("home"))
-    alone = small.select("spiel_id", F.lit(0).alias("cell"), F.lit(0).alias("block"), "id", "emb", F.lit(True).alias("home"))
-    keys = ["spiel_id", "cell", "block"]
+    large = cut(size.where(F.col("n") > whole))
+    grid = large.select("spiel_id", F.least(F.lit(BLOCKS), F.ceil(F.col("n") / block)).cast("int").alias("blocks"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    big = v.join(F.broadcast(grid), "spiel_id")
+    small = v.join(F.broadcast(large), "spiel_id", "left_anti")
+    big = big.withColumn("b", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")).withColumn("p", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    # once to every block of its part, and to its own block of the other parts
+    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("p").alias("part"), x.alias("block")))
+    parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(x.alias("part"), F.col("b").alias("block")))
+    copies = big.select("spiel_id", "id", "emb", "b", "p", F.explode(F.array_union(blocks, parts)).alias("t"))
+    copies = copies.select("spiel_id", F.col("t.part").alias("part"), F.col("t.block").alias("block"), "id", "emb", (F.col("b") == F.col("t.block")).alias("ask"), (F.col("p") == F.col("t.part")).alias("base"))
+    alone = small.select("spiel_id", F.lit(-1).alias("part"), F.lit(0).alias("block"), "id", "emb", F.lit(True).alias("ask"), F.lit(True).alias("base"))
+    keys = ["spiel_id", "part", "block"]
     work = copies.unionByName(alone).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +212,27 @@ def nearest(df: DataFrame, k: int = K, whole: int = WHOLE, cell: int = CELL, cel
             if len(ids) < 2:
                 continue
             x = _unit(t.column("emb"), DIM)[first]
-            home = t.column("home").to_numpy(zero_copy_only=False)[first].astype(bool)
-            a, b = search(ids, x, home, k=k, epsilon=epsilon)
+            ask, base = (t.column(n).to_numpy(zero_copy_only=False)[first].astype(bool) for n in ("ask", "base"))
+            if t.column("part")[0].as_py() < 0:
+                a, b = search(ids, x, ask, k=k, epsilon=epsilon)
+                cos = np.zeros(len(a))
+            else:
+                a, b, cos = search_cells(ids, x, ask, base, k=k, cell=cell, cells=cells, probes=probes)
+            game = t.column("spiel_id")[0].as_py()
             for s in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[s : s + 100_000]), pa.array(b[s : s + 100_000])], names=["id", "mate"])
-
-    return work.mapInArrow(run, "id bigint, mate bigint")
+                n = len(a[s : s + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array([game] * n, pa.string()), pa.array(a[s : s + 100_000]), pa.array(b[s : s + 100_000]), pa.array(cos[s : s + 100_000])], names=["spiel_id", "id", "mate", "cos"])
+
+    found = work.mapInArrow(run, "spiel_id string, id bigint, mate bigint, cos double")
+    many = [r["spiel_id"] for r in grid.where("parts > 1").select("spiel_id").collect()]
+    if not many:
+        return found.select("id", "mate")
+    found = cut(found)
+    whole_games = ~F.col("spiel_id").isin(many)
+    ranked = found.where(~whole_games).withColumn("r", F.row_number().over(Window.partitionBy("spiel_id", "id").orderBy(F.desc("cos"))))
+    least = F.coalesce(F.max(F.when(F.col("r") == k, F.col("cos"))).over(Window.partitionBy("spiel_id", "id")), F.lit(-2.0))
+    ranked = ranked.withColumn("least", least).where(F.col("cos") >= F.col("least") - TIE)
+    return found.where(whole_games).select("id", "mate").unionByName(ranked.select("id", "mate"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,20 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(d.limit(0)).count() == 0
 
 
+def test_neighbours_of_large_games_are_all_found(spark):
+    # hardly any clusters, and far more cells than are probed first
+    x = np.random.default_rng(8).standard_normal((3000, 32)).astype(np.float32)
+    d = spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "id bigint, spiel_id string, emb array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    fifth = np.sort(s, axis=1)[:, -5]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(s >= fifth[:, None] - 1e-6))}
+    options = {"whole": 400, "cell": 50, "probes": 3, "block": 700}
+    assert {tuple(r) for r in neighbours.nearest(d, **options).collect()} == want
+    assert {tuple(r) for r in neighbours.nearest(d, **options, part=1100).collect()} == want
+
+
 def edited(words, r, share):
     return [r.choice(words) + "x" if r.random() < share else w for w in words]
 
