@@ -92,15 +92,23 @@ class Index:
 
 
 def threshold(words: list[str]) -> int:
-    """Least q-grams that any leak of the passage shares: of a stretch of n words n // 8 are lost with the q-grams that touch them."""
-    sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
-    longest = max(map(len, words))
+    """Least q-grams that any leak of the passage shares.
+
+    Of a stretch of n words n // 8 are lost, at worst its longest, each with the q-grams that touch it.
+    The words left are in n // 8 + 1 runs, and the longest run keeps its q-grams whatever is lost elsewhere.
+    """
+    length = np.array([len(w) for w in words])
+    sizes = np.cumsum([0, *(length + 1)])
     least = None
     for n in range(LEAST_WORDS, min(LONGEST, len(words)) + 1):
-        chars = int((sizes[n:] - sizes[:-n]).min()) - 1
-        kept = chars - Q + 1 - (n // ONE_IN) * (Q + min(longest, 12))
+        lost = n // ONE_IN
+        chars = sizes[n:] - sizes[:-n] - 1
+        longest = np.partition(np.lib.stride_tricks.sliding_window_view(length, n), n - lost, axis=1)[:, n - lost :]
+        kept = int((chars - Q + 1 - longest.sum(axis=1) - lost * (Q - 1)).min())
+        run = -(-(n - lost) // (lost + 1))
+        kept = max(kept, int((sizes[run:] - sizes[:-run]).min()) - 1 - Q + 1)
         least = kept if least is None else min(least, kept)
-    return max(3, least or 0)
+    return max(1, least or 0)
 
 
 def build(passages: list[tuple[int, str]]) -> Index | None:

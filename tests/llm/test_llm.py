@@ -206,6 +206,15 @@ def test_leaks(spark):
     assert leakage.leaked(d, q.limit(0)).count() == 0 and leakage.leaked(d.limit(0), q).count() == 0
 
 
+def test_leaks_with_long_words_altered(spark):
+    p = [f"wo{a}{b}" for a in "abcd" for b in "efgh"]
+    p[4], p[11] = "regenbogenfischteichwasser", "tintenfassdeckelgriffbrett"
+    doc = [x if k not in (4, 11) else "anders" for k, x in enumerate(p)]
+    d = spark.createDataFrame([(1, " ".join(["davor"] * 9 + doc + ["danach"] * 9))], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, " ".join(p))], "item_id bigint, text string")
+    assert rows(leakage.leaked(d, q)) == [(1, 1)]
+
+
 def test_sentences():
     known = sentences.Learned([("abbreviation", "de", "dr"), ("abbreviation", "de", "s"), ("pair", "de", "s #"), ("starter", "de", "das"), ("abbreviation", "de", "z.b")])
     cut = lambda t, lang="de": [x for x in (lambda e: [t[a:b].strip() for a, b in zip([0, *e], e)])(sentences.ends(t, lang, known))]
