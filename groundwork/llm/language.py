@@ -78,6 +78,11 @@ class Guess:
         _, known, every = self.scores(text)
         return every >= 2 and known < 0.4 * every
 
+    def own(self, text: str, language: str | None) -> bool:
+        """Whether most words of the text are known and ``language`` has them most."""
+        s, known, every = self.scores(text)
+        return known >= 0.6 * every and bool(s) and max(s, key=lambda k: (s[k], k)) == language
+
     def foreign(self, text: str, language: str | None, latin: bool = True) -> bool:
         """Whether the text is surely not in ``language``: it has another script or another language's words."""
         own = script(text)
