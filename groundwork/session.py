@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, a laptop)
-    a folder of this machine is made.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a session on this machine
+    alone (tests, a laptop) gets a folder of this machine; on a cluster that is an error, for its
+    executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="groundwork-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
