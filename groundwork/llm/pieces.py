@@ -17,12 +17,14 @@ LIMIT, OVERLAP = 1200, 150
 #: What ends a paragraph and a sentence, and whitespace, in Java's and in RE2's form.
 BLANK_LINE = r"\n[^\S\n]*\n"
 STOP, WIDE_STOP = ".!?", "。！？"
+#: Kinds of boundaries, the strongest first.
+GRENZEN = ("absatz", "satz", "wort", "hart")
 
 
 def _bodies(text: Column, most: int) -> Column:
     n = most
     pattern = (
-        rf"(?U)\s*+(?:[\s\S]{{1,{n}}}(?=\s*\z)|[\s\S]{{1,{n}}}(?={BLANK_LINE})|[\s\S]{{0,{n - 1}}}(?:[{STOP}](?=\s)|[{WIDE_STOP}])"
+        rf"(?U)\s*+(?:[\s\S]{{1,{n}}}(?=\s*\z)|[\s\S]{{1,{n}}}(?=\s*{BLANK_LINE})|[\s\S]{{0,{n - 1}}}(?:[{STOP}](?=\s)|[{WIDE_STOP}])"
         rf"|[\s\S]{{1,{n}}}(?=\s)|[\s\S]{{1,{n}}})"
     )
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -32,19 +34,23 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _longest(text: Column, boundary: str) -> Column:
-    return F.array_max(F.transform(F.split(text, boundary), lambda s: F.length(_trim(s))))
+def boundary_kind(bodies: Column) -> Column:
+    """The weakest kind of boundary that the text was cut at.
 
+    At every place the strongest boundary in reach is taken, and all stretches begin at a cut or
+    behind one, so a kind is used just where a stretch between stronger boundaries exceeds the limit.
+    """
 
-def boundary_kind(text: Column, most: int = LIMIT - OVERLAP) -> Column:
-    """The strongest kind of boundary that leaves no stretch over ``most`` characters, else ``hart``."""
-    satz = rf"(?U){BLANK_LINE}|(?<=[{STOP}])\s+|(?<=[{WIDE_STOP}])"
-    return (
-        F.when(_longest(text, f"(?U){BLANK_LINE}") <= most, "absatz")
-        .when(_longest(text, satz) <= most, "satz")
-        .when(_longest(text, rf"(?U)\s+|(?<=[{WIDE_STOP}])") <= most, "wort")
-        .otherwise("hart")
-    )
+    def cut(body: Column, i: Column) -> Column:
+        after = F.get(bodies, i + 1)  # begins with the whitespace behind the cut
+        return (
+            F.when(after.isNull() | after.rlike(rf"(?U)^\s*?{BLANK_LINE}") | (F.trim(after) == ""), 0)
+            .when(body.rlike(rf"[{WIDE_STOP}]\z") | (body.rlike(rf"[{STOP}]\z") & after.rlike(r"(?U)^\s")), 1)
+            .when(after.rlike(r"(?U)^\s"), 2)
+            .otherwise(3)
+        )
+
+    return F.element_at(F.array(*[F.lit(x) for x in GRENZEN]), F.coalesce(F.array_max(F.transform(bodies, cut)), F.lit(0)) + 1)
 
 
 def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -58,29 +64,34 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be shorter than the limit")
-    if clash := {"grenze", "stuecke", "_koerper", "_enden"} & set(df.columns):
+    if clash := {"grenze", "stuecke", "_koerper", "_enden", "_reste"} & set(df.columns):
         raise ValueError(f"the table already has {sorted(clash)}")
     t = F.col(text)
     long = df.where(F.length(t) > limit)
-    long = long.withColumn("grenze", boundary_kind(t, limit - overlap)).withColumn("_koerper", _bodies(t, limit - overlap))
+    long = long.withColumn("_koerper", _bodies(t, limit - overlap)).withColumn("grenze", boundary_kind(F.col("_koerper")))
     ends = F.aggregate("_koerper", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(b))))
-    long = long.withColumn("_enden", ends)
+    # what precedes a body is looked for in the last characters of those before it
+    long = long.withColumn("_enden", ends).withColumn("_reste", F.transform("_koerper", lambda b: F.right(b, F.lit(overlap + 1))))
+
+    def before(i: Column, most: int) -> Column:
+        return F.array_join(F.slice("_reste", F.greatest(i - most + 1, F.lit(1)), F.least(i, F.lit(most))), "")
 
     def piece(body: Column, i: Column) -> Column:
         bare = F.regexp_replace(body, r"(?U)^\s+", "")
         lead = F.length(body) - F.length(bare)
         room = F.greatest(F.lit(overlap) - lead, F.lit(0))
-        # two bodies back there is always more text than the overlap, as a body ends as late as it can
-        before = F.when(i > 0, F.array_join(F.slice("_koerper", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), "")).otherwise("")
-        back = F.when(room > 0, F.right(before, room)).otherwise("")
-        cut = F.length(before) > room
+        # a few bodies back there is nearly always enough; every body has a character, so ``overlap`` bodies are
+        few = before(i, 3)
+        ahead = F.when(i == 0, "").when((i <= 3) | (F.length(few) > overlap), few).otherwise(before(i, overlap + 1))
+        back = F.when(room > 0, F.right(ahead, room)).otherwise("")
+        cut = F.length(ahead) > room
         back = F.when(cut, F.regexp_replace(back, r"(?U)^\S{1,40}\s+(?=\S)", "")).otherwise(back)
         whole = F.when(lead <= overlap, F.concat(back, body)).otherwise(bare)
         return F.struct(
             i.alias("nr"), (F.get("_enden", i) + lead).alias("von"), F.get("_enden", i + 1).alias("bis"), _trim(whole).alias("stueck")
         )
 
-    return long.withColumn("stuecke", F.transform("_koerper", piece)).drop("_koerper", "_enden")
+    return long.withColumn("stuecke", F.transform("_koerper", piece)).drop("_koerper", "_enden", "_reste")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
