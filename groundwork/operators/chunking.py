@@ -46,7 +46,7 @@ def spanned_pages(start: Column, end: Column, breaks: Column) -> Column:
 
 def paragraph_blocks(text: Column, target: int = 1200) -> Column:
     """Paragraphs packed greedily until the next one would exceed ``target``."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, p: Column) -> Column:

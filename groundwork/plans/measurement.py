@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as T
-from groundwork.operators import index as I
 from groundwork.operators import measuring as M
 from groundwork.session import table
 
@@ -64,12 +63,12 @@ select setting, round(avg(p), 6) as "precision", round(avg(coalesce(1.0::double
 
 
 def golden_missing(spark, d: str) -> DataFrame:
-    """Questions that no answer was delivered for."""
-    a = table(spark, d, "antworten").select("spiel_id", "frage_id")
+    """Questions that no answer of the first runs was delivered for."""
+    a = table(spark, d, "antworten").where("lauf = 1").select("spiel_id", "frage_id")
     return table(spark, d, "golden_set").select("spiel_id", "frage_id").join(a, ["spiel_id", "frage_id"], "left_anti")
 
 
-MISSING_SQL = "select spiel_id, frage_id from golden_set g where not exists (select 1 from antworten a where a.spiel_id = g.spiel_id and a.frage_id = g.frage_id)"
+MISSING_SQL = "select spiel_id, frage_id from golden_set g where not exists (select 1 from antworten a where a.spiel_id = g.spiel_id and a.frage_id = g.frage_id and a.lauf = 1)"
 
 
 def _verdicts(spark, d: str) -> DataFrame:
@@ -177,6 +176,18 @@ def keyword_hits(spark, d: str) -> DataFrame:
     return s.select("antwort_id", F.size(T.keyword_hits(F.col("antwort"), F.col("keywords"))).alias("treffer"), F.size("keywords").alias("von"))
 
 
+_SIGN = r"[\p{L}\p{N}\p{M}_]"
+#: Whether a text (first) has a keyword (second): at one of the places where it is split by it, the signs on both sides let it stand.
+_HAS = rf"""len(list_filter(range(1, len(string_split(lower({{0}}), lower({{1}})))), lambda i: (not regexp_matches({{1}}, '^{_SIGN.replace('{', '{{').replace('}', '}}')}') or not regexp_matches(string_split(lower({{0}}), lower({{1}}))[i], '{_SIGN.replace('{', '{{').replace('}', '}}')}$'))
+  and case when regexp_matches({{1}}, '\s') and regexp_matches({{1}}, '\p{{{{L}}}}$') then regexp_matches(string_split(lower({{0}}), lower({{1}}))[i + 1], '^\p{{{{L}}}}{{{{0,3}}}}([^\p{{{{L}}}}\p{{{{N}}}}\p{{{{M}}}}_]|$)')
+  when regexp_matches({{1}}, '{_SIGN.replace('{', '{{').replace('}', '}}')}$') then not regexp_matches(string_split(lower({{0}}), lower({{1}}))[i + 1], '^{_SIGN.replace('{', '{{').replace('}', '}}')}') else true end)) > 0"""
+KEYWORD_HITS_SQL = f"""
+with {_SCORED}, k as (select s.antwort_id, s.antwort, g.keywords, list_transform(list_filter(g.keywords, lambda x: x is not null and trim(x) <> ''), lambda x: trim(x)) k
+  from s join golden_set g on g.spiel_id = s.spiel_id and g.frage_id = s.frage_id where g.keywords is not null and s.antwort is not null)
+select antwort_id, cast(len(list_filter(k, lambda x: {_HAS.format('antwort', 'x')})) as int) treffer, cast(len(keywords) as int) von from k
+"""
+
+
 def name_keys(spark, d: str) -> DataFrame:
     return table(spark, d, "spiele").select("spiel_id", T.name_key(F.col("spiel_name")).alias("schluessel"))
 
@@ -208,36 +219,42 @@ select schluessel, count(*) spiele, min(spiel_id) erstes from k where schluessel
 """
 
 
-def fingerprints(spark, d: str) -> DataFrame:
-    return I.fingerprints(table(spark, d, "chunks").where("spiel_id is not null"), "spiel_id", "id", "text")
-
-
-FINGER_SQL = """
-with r as (select spiel_id, id, sha256(concat(id, chr(10), coalesce(text, ''))) h from chunks where spiel_id is not null)
-select spiel_id, count(*) n_chunks, sha256(string_agg(h, '' order by id)) fingerprint from r group by 1
-"""
+#: Fixed value: the end of a line of a table of contents.
+DIRECTORY_LINE = r"(\.{3,}|…|\s)\s*\d{1,3}\s*$"
 
 
-def index_status(spark, d: str) -> DataFrame:
-    """Books of all chunks against those of German ones, as declared and stored state."""
-    c = table(spark, d, "chunks").where("spiel_id is not null")
-    now = I.fingerprints(c, "spiel_id", "id", "text")
-    old = I.fingerprints(c.where("sprache = 'de'"), "spiel_id", "id", "text")
-    return I.status(now, old, "spiel_id")
+def directory_share(spark, d: str) -> DataFrame:
+    """Share of lines that look like a table of contents, of every chunk that has any."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    like = F.filter(lines, lambda x: x.rlike(DIRECTORY_LINE))
+    return table(spark, d, "chunks").where("text is not null").select("id", F.round(F.try_divide(F.size(like), F.size(lines)), 2).alias("anteil")).where("anteil > 0")
 
 
-STATUS_SQL = """
-with r as (select spiel_id, id, sprache, sha256(concat(id, chr(10), coalesce(text, ''))) h from chunks where spiel_id is not null),
-n as (select spiel_id, sha256(string_agg(h, '' order by id)) f from r group by 1), o as (select spiel_id, sha256(string_agg(h, '' order by id)) f from r where sprache = 'de' group by 1)
-select coalesce(n.spiel_id, o.spiel_id) spiel_id, case when o.f is null then 'neu' when n.f is null then 'entfernt' when n.f = o.f then 'aktuell' else 'geaendert' end status from n full join o on n.spiel_id = o.spiel_id
+DIRECTORY_SQL = rf"""
+with l as (select id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') l from chunks where text is not null),
+s as (select id, round(len(list_filter(l, lambda x: regexp_matches(x, '{DIRECTORY_LINE}'))) / nullif(cast(len(l) as double), 0), 2) anteil from l)
+select * from s where anteil > 0
 """
 
 
-def directory_share(spark, d: str) -> DataFrame:
-    """Chunks of which lines look like a table of contents, by share."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    like = F.filter(lines, lambda x: x.rlike(r"(\.{3,}|…|\s)\s*\d{1,3}\s*$"))
-    return table(spark, d, "chunks").where("text is not null").select("id", F.round(F.try_divide(F.size(like), F.size(lines)), 2).alias("anteil")).where("anteil > 0")
+def directory_hits(spark, d: str) -> DataFrame:
+    """Per game the retrieved chunks of all answers, and how many of them are of a page read by vision or look like a table of contents."""
+    c = table(spark, d, "chunks").where("spiel_id is not null")
+    seen = c.where("route = 'vision'").select("spiel_id", "seite").distinct().withColumn("vision", F.lit(True))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    share = F.coalesce(F.round(F.try_divide(F.size(F.filter(lines, lambda x: x.rlike(DIRECTORY_LINE))), F.size(lines)), 2), F.lit(0.0))
+    c = c.select("id", "spiel_id", "seite", (share >= 0.5).alias("verzeichnis")).join(seen, ["spiel_id", "seite"], "left")
+    a = table(spark, d, "antworten").where("antwort_id is not null").dropDuplicates(["antwort_id"]).select(F.explode("abgerufen_id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(c, "id").groupBy("spiel_id").agg(F.sum("n").alias("treffer"), F.sum(F.when(F.col("vision"), F.col("n")).otherwise(0)).alias("vision"), F.sum(F.when(F.col("verzeichnis"), F.col("n")).otherwise(0)).alias("verzeichnis"))
+
+
+DIRECTORY_HITS_SQL = rf"""
+with l as (select id, spiel_id, seite, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') l from chunks where spiel_id is not null),
+s as (select id, spiel_id, seite, coalesce(round(len(list_filter(l, lambda x: regexp_matches(x, '{DIRECTORY_LINE}'))) / nullif(cast(len(l) as double), 0), 2), 0) >= 0.5 vz from l),
+v as (select distinct spiel_id, seite from chunks where route = 'vision'),
+a as (select antwort_id, any_value(abgerufen_id) i from antworten where antwort_id is not null group by 1), h as (select unnest(i) id from a)
+select s.spiel_id, count(*) treffer, count(v.spiel_id) vision, count(*) filter (vz) verzeichnis from h join s using (id) left join v on v.spiel_id = s.spiel_id and v.seite = s.seite group by 1
+"""
 
 
 def _sql(cols: str, by: str) -> str:
@@ -248,11 +265,11 @@ QUERIES = {
     "eval_category": eval_category, "eval_summary": eval_summary, "eval_by_type": eval_by_type, "hit_rate_by_game": hit_rate_by_game, "precision_mrr": precision_mrr,
     "golden_missing": golden_missing, "run_metrics": run_metrics, "confusion_matrix": confusion_matrix, "stable_questions": stable_questions, "directional_change": directional_change,
     "calibration_bins": calibration_bins, "threshold_curve": threshold_curve, "worst_game": worst_game, "keyword_hits": keyword_hits, "name_keys": name_keys,
-    "slug_names": slug_names, "resolve_names": resolve_names, "fingerprints": fingerprints, "index_status": index_status, "directory_share": directory_share,
+    "slug_names": slug_names, "resolve_names": resolve_names, "directory_share": directory_share, "directory_hits": directory_hits,
 }
 SQL = {
     "eval_category": f"with {_SCORED} select antwort_id, kategorie from s", "eval_summary": _sql(_COUNTS, "setting"), "eval_by_type": _sql(_COUNTS, "setting, fragetyp"),
     "hit_rate_by_game": _sql(_COUNTS, "spiel_id"), "precision_mrr": PRECISION_SQL, "golden_missing": MISSING_SQL, "run_metrics": RUN_SQL, "confusion_matrix": CONFUSION_SQL,
     "stable_questions": STABLE_SQL, "directional_change": DIRECTION_SQL, "calibration_bins": CALIBRATION_SQL, "threshold_curve": THRESHOLD_SQL, "worst_game": WORST_SQL,
-    "name_keys": NAME_SQL, "slug_names": SLUG_SQL, "resolve_names": RESOLVE_SQL, "fingerprints": FINGER_SQL, "index_status": STATUS_SQL,
+    "name_keys": NAME_SQL, "slug_names": SLUG_SQL, "resolve_names": RESOLVE_SQL, "directory_share": DIRECTORY_SQL, "directory_hits": DIRECTORY_HITS_SQL, "keyword_hits": KEYWORD_HITS_SQL,
 }

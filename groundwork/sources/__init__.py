@@ -1 +1 @@
-"""See the modules of this package."""
+"""Reading the records of collections from files, with their guards."""
