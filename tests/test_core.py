@@ -79,12 +79,12 @@ def test_text_functions(spark):
     assert one(T.slug(F.lit("–"))) is None
     assert one(T.name_key(F.lit("Food_Truck: Groß!"))) == "foodtruckgross"
     assert one(T.query_terms(F.lit("Geld? Geld!"))) == ["geld"]
-    assert one(T.last_verdict(F.lit("<think>VERDICT: falsch</think>\nVERDICT: teilweise\nVERDICT: richtig"))) == "richtig"
+    assert one(T.last_verdict(F.lit("<think>URTEIL: falsch</think>\nURTEIL: teilweise\nUrteil = **richtig**"))) == "richtig"
     assert one(T.last_verdict(F.lit("nichts"))) == "unparsebar"
     assert one(T.class_of_reply(F.lit("Kein Regelinhalt, sondern flavor."))) == "flavor"
     assert one(T.class_of_reply(F.lit("Das ist nicht meta, sondern regel"))) == "regel"
     assert one(T.class_of_reply(F.lit("weiß nicht"))) == "regel"
-    assert one(T.dehyphenated(F.array(*map(F.lit, ["Der Spiel-", "stein und Ein-", "und Aus­", "gang A-", "B"])))) == "Der Spielstein und Ein- und Ausgang A-B"
+    assert one(T.dehyphenated(F.array(*map(F.lit, ["Der Spiel-", "stein und Ein-", "und Aus­", "gang A-", "B"]))))[0] == "Der Spielstein und Ein- und Ausgang A-B"
     assert one(T.keyword_hits(F.lit("Die blauen Steinen"), F.array(F.lit("blau"), F.lit("blauen Stein"), F.lit("")))) == ["blauen Stein"]
     assert one(T.similarity(F.lit("Fujian"), F.lit("Fuji"))) == pytest.approx(0.8)
 
