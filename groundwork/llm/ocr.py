@@ -1,21 +1,24 @@
 """Texts from scanned pages repaired into continuous paragraphs, and the kinds of noise found in them.
 
-Three sources of evidence are counted over the whole corpus first: words (and words that carry a
-hyphen inside a line), and lines that recur as running headers. A word that is no common word is
-looked up by intersecting a Levenshtein automaton with the trie of the vocabulary; the automaton
-follows only edits by which signs of one shape are taken for each other, so all candidates are found
-and no inflection is. Candidates rank by how often the corpus has them; one counts if it is far
-more common than the word itself. Then page furniture is removed and lines are joined.
+Evidence is counted over the whole corpus first: words and pairs of neighbouring words, words that
+carry a hyphen inside a line, and lines that recur as running headers. Every word is then looked up by
+intersecting a Levenshtein automaton with the trie of the vocabulary. The automaton has substitutions,
+insertions, deletions, merges and splits, so all vocabulary words within its distance are found.
+Candidates rank by the kind of edit (signs of one shape first), then by context: how often the corpus
+has them between the same neighbours, then by how often it has them at all. A candidate by shapes counts
+if it is far commoner than the word; any other edit may as well be an inflection or another word, so it
+counts only inside a word, for a rare word, and if the neighbours on both sides speak for it. Then page
+furniture is removed and lines are joined.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,14 @@ from groundwork.session import cut, table
 RATIO, LEAST_SEEN, LEAST_LETTERS = 12, 5, 4
 #: Rows of each learned table that may travel to the tasks (the commonest ones, if there were more).
 LEARNED_ROWS = 400_000
-#: A line with the game's name is a running header if its form recurs in so many chunks.
-HEADER_SEEN = 3
+#: A line with the game's name is a running header if its form recurs in so many chunks; any other line if it
+#: begins or ends chunks of one game on so many combinations of page and neighbouring line.
+HEADER_SEEN, EDGE_WAYS = 3, 6
+#: Least share that an edge line has in all places where two of its words stand side by side.
+EDGE_SHARE = 0.1
+#: A word by other edits than of shapes: so rare, so long, the edit so far from its end, and the candidate's
+#: neighbours so often seen on either side.
+RARE, LONG, ENDING, NEIGHBOURS = 2, 6, 3, 3
 
 #: Signs that divide a word at a line end, and words before which a hyphen stays.
 HYPHENS = "-‐‑¬­"
@@ -54,7 +63,7 @@ SIMILAR = similar()
 
 
 class Trie:
-    """The vocabulary, with counts and languages, and the automaton of a word run along it."""
+    """The vocabulary, with counts and languages, and the Levenshtein automaton of a word run along it."""
 
     def __init__(self, words: dict[str, tuple[int, str]]):
         self.root: dict = {}
@@ -64,30 +73,51 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = n
 
-    def candidates(self, word: str, edits: int = 1, lang: str = "") -> list[tuple[int, str]]:
-        """(count, word) of all vocabulary words of the language that differ by 1 to ``edits`` shape confusions, commonest first."""
-        found: dict[str, int] = {}
-        # states of the automaton: (place in the word, edits left), each with its trie node and path
-        stack = [(self.root, 0, edits, "")]
+    def candidates(self, word: str, edits: int = 1, lang: str = "", most: int | None = None) -> list[tuple[bool, int, str, int]]:
+        """(by shapes, count, word, place of the last other edit) of all vocabulary words of the language within 1 to ``edits`` edits.
+
+        ``most`` other edits than those of shapes are allowed (all, if null). By shapes first, the commonest first.
+        """
+        found: dict[str, tuple[bool, int, int]] = {}
+        most = edits if most is None else most
+        # states of the automaton: (place in the word, edits left, other edits left, place of the last of these), with its node and path
+        stack = [(self.root, 0, edits, most, -1, "")]
+        seen = set()
         while stack:
-            node, k, left, path = stack.pop()
+            state = stack.pop()
+            node, k, left, other, at, path = state
+            if (path, k, left, other) in seen:
+                continue
+            seen.add((path, k, left, other))
             if k == len(word):
                 if "" in node and left < edits and ("" in (lang, node[""][1]) or lang == node[""][1]):
-                    found[path] = node[""][0]
-                continue
-            c = word[k]
-            if c in node:
-                stack.append((node[c], k + 1, left, path + c))
-            if left:
-                for x in SIMILAR.get(c, ""):
-                    if x in node:
-                        stack.append((node[x], k + 1, left - 1, path + x))
-                for many, one in MERGED:
-                    if word.startswith(many, k) and one in node:
-                        stack.append((node[one], k + len(many), left - 1, path + one))
-                    if c == one and many[0] in node and many[1] in node[many[0]]:
-                        stack.append((node[many[0]][many[1]], k + 1, left - 1, path + many))
-        return sorted(((n, w) for w, n in found.items()), key=lambda x: (-x[0], x[1]))
+                    new = (other == most, node[""][0], at)
+                    if path not in found or new > found[path]:
+                        found[path] = new
+            else:
+                c = word[k]
+                if c in node:
+                    stack.append((node[c], k + 1, left, other, at, path + c))
+                if left:
+                    for x in SIMILAR.get(c, ""):
+                        if x in node:
+                            stack.append((node[x], k + 1, left - 1, other, at, path + x))
+                    for many, one in MERGED:
+                        if word.startswith(many, k) and one in node:
+                            stack.append((node[one], k + len(many), left - 1, other, at, path + one))
+                        if c == one and many[0] in node and many[1] in node[many[0]]:
+                            stack.append((node[many[0]][many[1]], k + 1, left - 1, other, at, path + many))
+                    if other:
+                        stack.append((node, k + 1, left - 1, other - 1, k, path))
+                        for x, child in node.items():
+                            if x and x != c:
+                                stack.append((child, k + 1, left - 1, other - 1, k, path + x))
+            if left and other:
+                for x, child in node.items():
+                    if x:
+                        stack.append((child, k, left - 1, other - 1, k, path + x))
+        found.pop(word, None)
+        return sorted(((shape, n, w, at) for w, (shape, n, at) in found.items()), key=lambda x: (not x[0], -x[1], x[2]))
 
 
 def tokens(text: str) -> list[str]:
@@ -140,19 +170,19 @@ def _name(game: str) -> tuple[str, tuple[str, ...]]:
 
 
 def header_form(line: str, game: str | None) -> str | None:
-    """A short line that has the game's name, with name and page number masked; else null."""
+    """A short line that has the game's name (of which its key begins with the first word), with name and page number masked; else null."""
     s = line.strip()
     if not game or not 3 < len(s) <= 70:
         return None
     name, thirds = _name(game)
     plain = folded(s)
     # up to two edits leave one third of the name whole
-    if len(name) < 4 or not any(t in plain for t in thirds):
+    if not name or not any(t in plain for t in thirds):
         return None
     words = re.findall(r"[^\s|·–—]+", plain)
     if not words or len(words) > 9:
         return None
-    most = 1 if len(name) < 8 else 2
+    most = 0 if len(name) < 4 else 1 if len(name) < 8 else 2
     hit = False
     out = []
     for w in words:
@@ -168,6 +198,15 @@ def header_form(line: str, game: str | None) -> str | None:
     return " ".join(out) if len(out) > 1 else None
 
 
+def edge_form(line: str) -> str | None:
+    """A short line of several words that ends no sentence, with numbers masked; else null."""
+    s = line.strip()
+    if not 5 < len(s) <= 70 or s[-1] in ".!?:;,…" or NUMBER_LINE.match(s):
+        return None
+    words = re.sub(r"\d+", "#", s.lower()).split()
+    return " ".join(words) if 2 <= len(words) <= 9 and sum(any(c.isalpha() for c in w) for w in words) >= 2 else None
+
+
 def page_lines(lines: list[str], page: int | None) -> list[bool]:
     """Which lines are the page number alone; values of a table, standing in a column, are none."""
     out = [False] * len(lines)
@@ -193,8 +232,8 @@ def page_lines(lines: list[str], page: int | None) -> list[bool]:
 class Knowledge:
     """What was counted and learned over the corpus."""
 
-    def __init__(self, misread: dict[str, str], hyphened: set[str], headers: set[str]):
-        self.misread, self.hyphened, self.headers = misread, hyphened, headers
+    def __init__(self, misread: dict[str, str], hyphened: set[str], headers: set[str], edges: set[str]):
+        self.misread, self.hyphened, self.headers, self.edges = misread, hyphened, headers, edges
         self.judged: dict[str, bool] = {}
         self.lengths: dict[int, list[str]] = {}
         for h in headers:
@@ -203,7 +242,7 @@ class Knowledge:
     def header(self, line: str, game: str | None) -> bool:
         f = header_form(line, game)
         if f is None:
-            return False
+            return bool(self.edges) and game is not None and (e := edge_form(line)) is not None and f"{game}\n{e}" in self.edges
         if f in self.headers:
             return True
         # a header may be misread itself
@@ -301,48 +340,131 @@ def examine(text: str | None, page: int | None, game: str | None, known: Knowled
     return sorted(kinds), TOKEN.sub(right, whole)
 
 
-def _rough(text: str) -> str:
-    return re.sub(rf"[{HYPHENS}]\s*\n\s*(?=[^\W\d_])", lambda m: "" if m.group()[0] in "¬­" else "-\n", text)
-
-
-def learn(chunks: DataFrame) -> tuple[dict[str, str], set[str], set[str]]:
-    """(misread words with what they were, words with a hyphen of their own, forms of running headers)."""
+JOIN = re.compile(rf"([^\W\d_])[{HYPHENS}]\s*\n\s*(?=[a-zß-ÿ])")
+
+
+class Counts:
+    """Words, pairs of neighbouring words and lines of a batch of texts, counted over arrays."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.split: dict[str, list[int]] = {}
+        self.words: list[int] = []
+        self.ends: list[int] = []
+        self.langs: list[str] = []
+        self.rows: dict[tuple[str, str, str], int] = {}
+
+    def add(self, kind: str, word: str, lang: str) -> None:
+        k = (kind, word, lang)
+        self.rows[k] = self.rows.get(k, 0) + 1
+
+    def text(self, text: str, game: str | None, page: int | None, lang: str | None) -> None:
+        if "\n" in text or "\r" in text:
+            lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
+            for form in {header_form(x, game) for x in lines} - {None}:
+                self.add("header", form, "")
+            if game is not None and len(lines) > 1:
+                for line, beside in ((lines[0], lines[1]), (lines[-1], lines[-2])):
+                    if form := edge_form(line):
+                        self.add("edge", f"{game}\n{form}", f"{page} {beside.strip()}")
+            text = JOIN.sub(r"\1", text)
+        for w in tokens(text):
+            ids = self.split.get(w)
+            if ids is None:
+                if "-" in w:
+                    self.rows.setdefault(("hyphen", w.lower(), ""), 0)
+                ids = self.split[w] = [self.number.setdefault(p, len(self.number)) for p in parts(w)]
+            if "-" in w:
+                self.rows[("hyphen", w.lower(), "")] += 1
+            self.words += ids
+        self.ends.append(len(self.words))
+        self.langs.append(lang or "")
+
+    def batch(self) -> pa.RecordBatch:
+        names = list(self.number)
+        w = np.array(self.words, np.int64)
+        size = np.diff(np.array([0, *self.ends], np.int64))
+        langs, of = np.unique(np.array(self.langs, dtype=object).astype(str), return_inverse=True)
+        # words of enough letters, by language
+        long = np.array([len(x) >= LEAST_LETTERS for x in names], bool)
+        code, n = np.unique(w * len(langs) + np.repeat(of, size), return_counts=True)
+        keep = long[code // len(langs)] if len(code) else np.empty(0, bool)
+        code, n = code[keep], n[keep]
+        kind, word, lang, count = ["word"] * len(code), [names[i] for i in code // len(langs)], [str(langs[i]) for i in code % len(langs)], n.tolist()
+        # neighbours inside one text
+        inside = np.ones(max(len(w) - 1, 0), bool)
+        ends = np.array(self.ends, np.int64)
+        ends = ends[(ends > 0) & (ends < len(w))]
+        inside[ends - 1] = False
+        pair, n = np.unique((w[:-1] * len(names) + w[1:])[inside], return_counts=True) if len(w) > 1 else (w[:0], w[:0])
+        kind += ["pair"] * len(pair)
+        word += [names[i] for i in pair // max(len(names), 1)]
+        lang += [names[i] for i in pair % max(len(names), 1)]
+        count += n.tolist()
+        for (k, x, y), n in self.rows.items():
+            kind.append(k)
+            word.append(x)
+            lang.append(y)
+            count.append(n)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(lang, pa.string()), pa.array(count, pa.int64())], names=["kind", "word", "lang", "n"])
+
+
+#: Words that a task counts before it passes the counts on.
+HELD_WORDS = 2_000_000
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(kind, word, lang, n): ``word`` by language, ``pair`` with the next word, ``hyphen``, ``header`` forms, ``edge`` lines by page and neighbour."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-
-        def flush():
-            keys = list(c)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([c[k] for k in keys], pa.int64())], names=["kind", "word", "lang", "n"])
-            c.clear()
-            return out
-
+        c = Counts()
         for batch in batches:
-            for text, game, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lines = re.split(r"\r\n|\r|\n", text)
-                if len(lines) > 1:
-                    for form in {header_form(x, game) for x in lines} - {None}:
-                        c[("header", form, "")] += 1
-                joined = re.sub(rf"([^\W\d_])[{HYPHENS}]\s*\n\s*(?=[a-zß-ÿ])", r"\1", text)
-                for w, n in Counter(tokens(joined)).items():
-                    for p in parts(w):
-                        if len(p) >= LEAST_LETTERS:
-                            c[("word", p, lang or "")] += n
-                    if "-" in w:
-                        c[("hyphen", w.lower(), "")] += n
-                if len(c) > 300_000:
-                    yield flush()
-        if c:
-            yield flush()
-
-    sums = chunks.where("text is not null").select("text", "spiel_id", F.lower(F.trim("sprache"))).mapInArrow(run, "kind string, word string, lang string, n bigint")
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                c.text(*row)
+                if len(c.words) > HELD_WORDS:
+                    yield c.batch()
+                    c = Counts()
+        if c.ends:
+            yield c.batch()
+
+    page = F.coalesce("seite", "seite_pdf")
+    rows = chunks.where("text is not null").select("text", "spiel_id", page, F.lower(F.trim("sprache"))).mapInArrow(run, "kind string, word string, lang string, n bigint")
+    return rows.groupBy("kind", "word", "lang").agg(F.sum("n").alias("n"))
+
+
+def bounded(df: DataFrame, what: str, rows: int = LEARNED_ROWS) -> list:
+    """The rows of a table that travels to the tasks; more than ``rows`` are an error, for none may be dropped."""
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} {what}: raise ocr.LEARNED_ROWS (and the executors' memory) for this corpus")
+    return got
+
+
+def recurring(lines: list, pairs: DataFrame) -> set[str]:
+    """Those edge lines whose words the corpus hardly has side by side elsewhere; the others are phrases of the text where a page happened to break."""
+    found = []
+    for line in lines:
+        w = [p for t in tokens(line["word"].partition("\n")[2]) for p in parts(t)]
+        found += [(line["word"], line["n"], a, b) for a, b in zip(w, w[1:])]
+    if not found:
+        return set()
+    asked = pairs.sparkSession.createDataFrame(found, "line string, n bigint, a string, b string")
+    least = asked.join(pairs, ["a", "b"]).groupBy("line", "n").agg(F.min("k").alias("k"))
+    return {r["line"] for r in least.where(F.col("n") >= EDGE_SHARE * F.col("k")).collect()}
+
+
+def learn(chunks: DataFrame) -> tuple[dict[str, str], set[str], set[str], set[str]]:
+    """(misread words with what they were, words with a hyphen of their own, forms of running headers, recurring edge lines)."""
+    by = cut(counted(chunks))
+    sums = by.where("kind <> 'pair'").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ways"), F.coalesce(F.max_by("lang", F.when(F.col("lang") != "", F.col("n"))), F.lit("")).alias("lang"))
     # a word belongs to the language that has it most, if labelled at all
-    by = sums.groupBy("kind", "word", "lang").agg(F.sum("n").alias("n"))
-    sums = cut(by.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("lang", F.when(F.col("lang") != "", F.col("n"))), F.lit("")).alias("lang")))
-    headers = {r["word"] for r in sums.where((F.col("kind") == "header") & (F.col("n") >= HEADER_SEEN)).orderBy(F.desc("n"), "word").limit(LEARNED_ROWS).toLocalIterator()}
-    hyphened = {r["word"] for r in sums.where("kind = 'hyphen' and n >= 2").orderBy(F.desc("n"), "word").limit(LEARNED_ROWS).toLocalIterator()}
-    words = sums.where("kind = 'word'")
-    common = {r["word"]: (r["n"], r["lang"]) for r in words.where((F.col("n") >= LEAST_SEEN * RATIO // 4) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "word").limit(LEARNED_ROWS).toLocalIterator()}
+    words = sums.where("kind = 'word'").select("word", "n", "lang")
+    headers = {r["word"] for r in bounded(sums.where((F.col("kind") == "header") & (F.col("n") >= HEADER_SEEN)).select("word"), "headers")}
+    pairs = by.where("kind = 'pair'").select(F.col("word").alias("a"), F.col("lang").alias("b"), F.col("n").alias("k"))
+    edges = recurring(bounded(sums.where((F.col("kind") == "edge") & (F.col("ways") >= EDGE_WAYS)).select("word", "n"), "edge lines"), pairs)
+    hyphened = {r["word"] for r in bounded(sums.where("kind = 'hyphen' and n >= 2").select("word"), "words with a hyphen")}
+    usual = (F.col("n") >= LEAST_SEEN * RATIO // 4) & F.col("word").rlike(r"^\p{L}+$")
+    common = {r["word"]: (r["n"], r["lang"]) for r in bounded(words.where(usual), "common words")}
     shared = chunks.sparkSession.sparkContext.broadcast(common)
     held: list[Trie] = []
 
@@ -350,18 +472,32 @@ def learn(chunks: DataFrame) -> tuple[dict[str, str], set[str], set[str]]:
         if not held:
             held.append(Trie(shared.value))
         for batch in batches:
-            a, b = [], []
-            for word, n, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            out: list[tuple] = []
+            for word, n, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 odd = not word.isalpha()
-                for m, v in held[0].candidates(word, 2 if odd else 1, lang)[:1]:
-                    if m >= (2 if odd else RATIO) * n and m >= LEAST_SEEN:
-                        a.append(word)
-                        b.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["word", "right"])
-
-    pairs = words.select("word", "n", "lang").repartition("word").mapInArrow(look, "word string, right string")
-    misread = {r["word"]: r["right"] for r in pairs.orderBy("word").limit(LEARNED_ROWS).toLocalIterator()}
-    return misread, hyphened, headers
+                rare = not odd and n <= RARE and len(word) >= LONG
+                for shape, m, v, at in held[0].candidates(word, 2 if odd else 1, lang, 1 if rare else 0):
+                    if m < LEAST_SEEN:
+                        continue
+                    if shape and m >= (2 if odd else RATIO) * n or not shape and rare and 0 < at < len(word) - ENDING and m >= RATIO * RATIO * n:
+                        out.append((word, v, shape, m))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["word", "right", "shape", "m"])
+
+    found = cut(words.repartition("word").mapInArrow(look, "word string, right string, shape boolean, m bigint"))
+    # how often the corpus has a candidate between the word's own neighbours
+    asked = found.select("word").distinct()
+    before = pairs.join(asked.withColumnRenamed("word", "b"), "b").select(F.col("b").alias("word"), F.col("a").alias("beside"))
+    after = pairs.join(asked.withColumnRenamed("word", "a"), "a").select(F.col("a").alias("word"), F.col("b").alias("beside"))
+    left = found.join(before, "word").join(pairs.select(F.col("a").alias("beside"), F.col("b").alias("right"), "k"), ["beside", "right"]).groupBy("word", "right").agg(F.sum("k").alias("links"))
+    right = found.join(after, "word").join(pairs.select(F.col("a").alias("right"), F.col("b").alias("beside"), "k"), ["beside", "right"]).groupBy("word", "right").agg(F.sum("k").alias("rechts"))
+    ranked = found.join(left, ["word", "right"], "left").join(right, ["word", "right"], "left").na.fill(0, ["links", "rechts"])
+    fits = F.col("shape") | ((F.col("links") >= NEIGHBOURS) & (F.col("rechts") >= NEIGHBOURS))
+    # a candidate seen on both sides before one seen on one, then by counts
+    score = F.struct("shape", (F.least(F.col("links"), F.lit(1)) + F.least(F.col("rechts"), F.lit(1))).alias("sides"), (F.log1p("links") + F.log1p("rechts") + F.log1p("m")).alias("s"), "m", "right")
+    best = ranked.where(fits).groupBy("word").agg(F.max_by("right", score).alias("right"))
+    misread = {r["word"]: r["right"] for r in bounded(best, "misread words")}
+    return misread, hyphened, headers, edges
 
 
 def repaired(chunks: DataFrame) -> DataFrame:

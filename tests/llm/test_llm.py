@@ -226,15 +226,83 @@ def test_sentences():
 
 
 def test_scan_repair():
-    known = ocr.Knowledge({"begjnnt": "beginnt"}, {"nord-süd"}, {"@ anleitung"})
+    known = ocr.Knowledge({"begjnnt": "beginnt"}, {"nord-süd"}, {"@ anleitung"}, {"g\nkapitel # im wald"})
+    assert ocr.examine("Kapitel 3 im Wald\nDas Tor ist zu.", 1, "g", known)[0] == ["kopfzeile"] and ocr.examine("Kapitel 3 im Wald\nDas Tor.", 1, "h", known)[0] == []
     text = "WALDREICH · ANLEITUNG    Seite 7\nBegjnnt die Nacht, so nimm die Moor-\nfigur und die Nord-\nSüd-Karte sowie Ein-\nund Ausgang.\n\n– 7 –\nSilber¬\nmünzen gehen."
     kinds, clean = ocr.examine(text, 7, "waldreich-1", known)
     assert kinds == ["kopfzeile", "seitenzahl", "trennung", "zeichen"]
     assert clean == "Beginnt die Nacht, so nimm die Moorfigur und die Nord-Süd-Karte sowie Ein- und Ausgang.\n\nSilbermünzen gehen."
     assert ocr.examine("Kosten:\n6\n7\n8", 7, None, known)[0] == [] and ocr.examine(None, 1, None, known) == ([], "")
     trie = ocr.Trie({"beginnt": (500, "de"), "beginn": (9, "de"), "garden": (900, "en")})
-    assert trie.candidates("begjnnt", 1, "de") == [(500, "beginnt")] and trie.candidates("garder", 1, "fr") == []
-    assert trie.candidates("beginnt", 1, "de") == []
+    words = lambda w, *a: [c[2] for c in trie.candidates(w, *a)]
+    assert words("begjnnt", 1, "de") == ["beginnt", "beginn"][:1] and words("garder", 1, "fr") == [] and words("beginnt", 1, "de", 0) == []
+    trie = ocr.Trie({"beginnt": (500, ""), "spieler": (90, ""), "turm": (50, "")})
+    assert words("begknnt") == ["beginnt"] and words("spielr") == ["spieler"] and words("spiteler") == ["spieler"] and words("speler", 2) == ["spieler"] and words("tunn") == []
+    assert words("turrn") == ["turm"] and trie.candidates("turrn")[0][0] and not trie.candidates("spielr")[0][0]
+
+
+def test_automaton_finds_all_within_its_distance():
+    r = random.Random(3)
+    vocabulary = {"".join(r.choices("abcde", k=r.randint(3, 6))) for _ in range(400)}
+    trie = ocr.Trie({w: (1, "") for w in vocabulary})
+    for _ in range(60):
+        word = "".join(r.choices("abcde", k=r.randint(3, 6)))
+        for edits in (1, 2):
+            want = {v for v in vocabulary if v != word and ocr.near(v, word, edits)}
+            assert want <= {c[2] for c in trie.candidates(word, edits)}
+
+
+def test_misread_words_by_context(spark):
+    """A rare word by an edit of no shape is one only where its neighbours speak for it."""
+    r = random.Random(1)
+    nouns = ["Turmkarte", "Bergfigur", "Waldlager", "Moorbrunnen"]
+    texts = [f"Lege die {r.choice(nouns)} neben das Tor und nimm {r.choice(nouns)} wieder auf" for _ in range(1500)]
+    texts += ["Lege die Tuzmkarte neben das Tor", "Dort liegt Bexgfigur herum"]
+    d = spark.createDataFrame([(i, "g", 1, None, "de", t) for i, t in enumerate(texts)], "id bigint, spiel_id string, seite int, seite_pdf int, sprache string, text string")
+    misread = ocr.learn(d)[0]
+    assert misread.get("tuzmkarte") == "turmkarte" and "bexgfigur" not in misread
+    with pytest.raises(ValueError, match="LEARNED_ROWS"):
+        ocr.bounded(d, "rows", 10)
+
+
+def answered(n, r):
+    """Questions of five kinds in two languages with answers, and 4 % each of refusals, foreign and cut answers."""
+    kinds = {"de": [("Was kostet der Turm {}?", "Der Preis beträgt {} Taler."), ("Wer beginnt die Runde {}?", "Das jüngste Mitglied beginnt die Runde {}."), ("Darf ich das Tor {} drehen?", "Ja, du darfst das Tor drehen."),
+                    ("Wie viele Karten darf ich ziehen?", "Du darfst pro Runde {} Karten ziehen."), ("Wofür brauche ich das Boot {}?", "Nur für die Wertung {}.")],
+             "en": [("What does the tower {} cost?", "The price is {} coins."), ("Who starts the round {}?", "The youngest player starts the round {}."), ("May I turn the gate {}?", "Yes, you may turn the gate."),
+                    ("How many cards may I draw?", "You may draw {} cards each round."), ("Why do I need the boat {}?", "Only for the scoring {}.")]}
+    no = {"de": "Dazu kann ich leider nichts sagen.", "en": "I cannot answer this from the pages given."}
+    out, truth = [], {}
+    for i in range(n):
+        lang = "de" if r.random() < 0.6 else "en"
+        q, a = r.choice(kinds[lang])
+        q, allowed, x = q.format(r.randint(1, 90)), r.random() < 0.1, r.random()
+        a = a.format(r.randint(1, 90))
+        if allowed and x < 0.6:
+            a = no[lang]
+        elif x < 0.04:
+            a, truth[i] = no[lang], "verweigerung"
+            if allowed:
+                del truth[i]
+        elif x < 0.08:
+            other = "en" if lang == "de" else "de"
+            a, truth[i] = r.choice(kinds[other])[1].format(r.randint(1, 90)), "fremdsprache"
+        elif x < 0.12:
+            a, truth[i] = a + " " + " ".join(a.split()[:3]) + " und der", "abgeschnitten"
+        out.append((i, "g", i, q, a, lang, allowed))
+    return out, truth
+
+
+@pytest.mark.parametrize("n", [600, 6000])
+def test_defects_at_two_sizes(spark, n):
+    """Foreign answers that recur under many questions stay foreign, however many there are."""
+    out, truth = answered(n, random.Random(n))
+    answers = spark.createDataFrame([(i, s, f, q, a) for i, s, f, q, a, _, _ in out], "antwort_id bigint, spiel_id string, frage_id int, frage string, antwort string")
+    questions = spark.createDataFrame([(s, f, q, ok) for _, s, f, q, _, _, ok in out], "spiel_id string, frage_id int, frage string, erwartet_verweigerung boolean")
+    texts = spark.createDataFrame([(q + " " + a, lang) for i, _, _, q, a, lang, _ in out if i not in truth], "text string, lang string")
+    got = {r.antwort_id: r.defekt for r in pairs.defects(answers, questions, texts).collect()}
+    both = sum(truth.get(k) == v for k, v in got.items())
+    assert both >= 0.95 * len(truth) and both >= 0.95 * len(got)
 
 
 def test_scan_repair_tables(spark):
