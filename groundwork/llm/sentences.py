@@ -30,13 +30,14 @@ ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 LEAST_SEEN = 3
 #: Commonest words of each language that tell what language a text is in.
 COMMON_WORDS = 120
-#: Learned rows that may travel to the tasks; above it those with the most evidence do.
+#: Rows of a learned table that may travel to the tasks; more are an error, for none may be dropped.
 LEARNED_ROWS = 200_000
 
 #: Sentence ends, closing and opening quotes and brackets, list marks, line ends.
 STOPS = ".!?…。！？｡।॥؟۔"
 WIDE = "。！？｡।॥"
 CLOSE = "\"'”’»“)]}」』）】〉》›"
+EDGES = STOPS + CLOSE + ",;:¡¿(（[【„“«「『‘‚–—-*_/·•"
 QUOTES = {"„": "“”", "“": "”", "«": "»", "»": "«", "「": "」", "『": "』"}
 BRACKETS = {"(": ")", "[": "]", "（": "）", "【": "】"}
 STOP_SIGN, STOP_OR_SPACE = re.compile(f"[{STOPS}]"), re.compile(f"[{STOPS}\\s]")
@@ -287,8 +288,8 @@ def _stops(text: str, a: int, b: int, k: int, e: int, f: int, lang: str, learned
         return True
     if learned.has("closing", lang, low) or learned.has("closing", lang, short):
         # abbreviations that also end sentences: what follows decides
-        return bool(after) and (learned.has("starter", lang, after) or (first.isupper() and not learned.has("middle", lang, after)))
-    return bool(after) and learned.has("starter", lang, after) and not learned.has("title", lang, short) and not initial
+        return bool(after) and (learned.has("starter", lang, after) or first.isupper())
+    return bool(after) and learned.has("starter", lang, after) and not initial
 
 
 def llr(a: float, b: float, ab: float, n: float) -> float:
@@ -322,7 +323,8 @@ def main_language(text: str, lang: str | None, learned: Learned) -> str:
     if own in ("th", "wide", "hi") or not learned.common:
         return own
     seen: Counter = Counter()
-    for w in learned.common.keys() & set(text.lower().split()):
+    # words between blanks, without the signs at their ends
+    for w in learned.common.keys() & {x.strip(EDGES) for x in set(text.lower().split())}:
         seen.update(learned.common[w])
     return max(seen, key=lambda x: (seen[x], x == own, x)) if seen else own
 
@@ -363,6 +365,14 @@ def _low(word: str) -> str:
     return "#" if word[0].isdigit() else word.lower()
 
 
+def bounded(df: DataFrame, what: str, rows: int = LEARNED_ROWS) -> Iterator:
+    """The rows of a learned table, one by one; more than ``rows`` are an error."""
+    for k, row in enumerate(df.limit(rows + 1).toLocalIterator()):
+        if k >= rows:
+            raise ValueError(f"more than {rows} {what}: raise sentences.LEARNED_ROWS (and the executors' memory) for this corpus")
+        yield row
+
+
 def learn(df: DataFrame) -> list[tuple[str, str, str]]:
     """(kind, language, word) of what the documents teach, out of (text, lang); counts cover every document."""
 
@@ -394,8 +404,8 @@ def learn(df: DataFrame) -> list[tuple[str, str, str]]:
     for r in common.where("lang not in ('-', 'th', 'wide', 'hi') and n >= 20").toLocalIterator():
         out.append(("common", r["lang"], r["a"]))
     # only words with a period inside running text can be abbreviations: few, and read one by one
-    some = word.where((F.col("p") - F.col("e") >= LEAST_SEEN) & (F.col("p") >= 0.6 * F.col("n")) & (F.col("a") != "#")).orderBy(F.desc("p"), "lang", "a").limit(LEARNED_ROWS)
-    for r in some.toLocalIterator():
+    some = word.where((F.col("p") - F.col("e") >= LEAST_SEEN) & (F.col("p") >= 0.6 * F.col("n")) & (F.col("a") != "#"))
+    for r in bounded(some, "words that may be abbreviations"):
         n, p, _ = total[r["lang"]]
         length = len(r["a"].replace(".", "")) + 1
         rest = r["n"] - r["p"]
@@ -409,24 +419,32 @@ def learn(df: DataFrame) -> list[tuple[str, str, str]]:
             out.append(("abbreviation", r["lang"], r["a"]))
             if r["e"] >= max(2, 0.05 * r["p"]):
                 out.append(("closing", r["lang"], r["a"]))
-    starts = word.where((F.col("s") >= LEAST_SEEN) & (F.col("s") >= 0.1 * F.col("n"))).orderBy(F.desc("s")).limit(LEARNED_ROWS)
-    for r in starts.toLocalIterator():
+    starts = word.where((F.col("s") >= LEAST_SEEN) & (F.col("s") >= 0.1 * F.col("n")))
+    for r in bounded(starts, "words that may start sentences"):
         n, _, s = total[r["lang"]]
         if r["a"] != "#" and llr(s, r["n"], r["s"], n) >= STARTER:
             out.append(("starter", r["lang"], r["a"]))
     # pairs over a period: the follower comes behind this word far more often than elsewhere
     first = {x for x in out if x[0] == "starter"}
     pairs = sums.where((F.col("kind") == "o") & (F.col("n") >= LEAST_SEEN)).select("lang", "a", "b", F.col("n").alias("ab"))
-    pairs = pairs.join(word.select("lang", "a", F.col("p").alias("pa"), F.col("e").alias("ea"), F.col("n").alias("na")), ["lang", "a"]).join(word.select("lang", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), ["lang", "b"])
-    pairs = pairs.where((F.col("ab") >= 0.3 * (F.col("pa") - F.col("ea"))) | (F.col("a") == "#"))
+    # ordinals: what follows numbers, by whether it starts sentences
     ordinal: Counter = Counter()
-    for r in pairs.orderBy(F.desc("ab"), "lang", "a", "b").limit(LEARNED_ROWS).toLocalIterator():
-        n, _, _ = total[r["lang"]]
-        starter = ("starter", r["lang"], r["b"]) in first
-        if r["a"] == "#":
-            ordinal[(r["lang"], starter)] += r["ab"]
-        elif r["b"] == "#" and r["ab"] >= 0.5 * (r["pa"] - r["ea"]) and llr(r["pa"], r["nb"], r["ab"], n) >= COLLOCATION:
-            out.append(("pair", r["lang"], f"{r['a']} #"))
+    for r in bounded(pairs.where("a = '#'"), "words behind a number"):
+        ordinal[(r["lang"], ("starter", r["lang"], r["b"]) in first)] += r["ab"]
+    # of other words only abbreviations can belong to what follows their period; they are a small table
+    short = [(x, y) for kind, x, y in out if kind == "abbreviation"]
+    if short:
+        known = df.sparkSession.createDataFrame(short, "lang string, a string").distinct()
+        numbers = word.where("a <> '#'").where(F.col("p") - F.col("e") >= LEAST_SEEN).select("lang", "a")
+        follow = pairs.where("a <> '#' and b <> '#'").join(known, ["lang", "a"]).unionByName(pairs.where("a <> '#' and b = '#'").join(numbers, ["lang", "a"]))
+        follow = follow.join(word.select("lang", "a", F.col("p").alias("pa"), F.col("e").alias("ea"), F.col("n").alias("na")), ["lang", "a"]).join(word.select("lang", F.col("a").alias("b"), F.col("n").alias("nb")), ["lang", "b"])
+        for r in bounded(follow, "pairs over a period"):
+            n, _, _ = total[r["lang"]]
+            if ("starter", r["lang"], r["b"]) in first or llr(r["pa"], r["nb"], r["ab"], n) < COLLOCATION:
+                continue
+            # a number belongs to a word only if it follows it mostly; a word must follow beyond chance
+            if r["b"] != "#" or r["ab"] >= 0.5 * (r["pa"] - r["ea"]):
+                out.append(("pair", r["lang"], f"{r['a']} {r['b']}"))
     for (lang, starter), k in ordinal.items():
         if not starter and k >= LEAST_SEEN and k > 0.2 * ordinal[(lang, True)]:
             out.append(("ordinal", lang, "#"))
