@@ -1,16 +1,20 @@
 """The k most similar vectors of every vector, within its game, by randomly rotated one-bit codes.
 
-Games up to ``WHOLE`` vectors. Each vector's residual is rotated by a fixed random rotation and kept
-as 32 sign bits with two correction scalars. The bits estimate all inner products; the error bound of
-the estimate leaves a short list for each query, and only that is compared exactly, in double precision.
-
-Larger games. A game is a grid of blocks of queries (about ``BLOCK``, at most ``BLOCKS`` a game) and
-parts of up to ``PART`` vectors to search. A task has one block and one part, and divides the part in
-cells of about ``CELL`` vectors (spherical k-means on ``SAMPLE`` vectors a cell, at most ``CELLS``).
-Queries search their ``PROBES`` nearest cells first; what they find there bounds what a cell can still
-add, by its centre and radius, and every cell that can add something is searched too. So the result is
-exact at any size; in the worst case all vectors of a game are compared. Where a game has several
-parts, the best of each part are ranked again.
+A task has the vectors to search divided in cells of about ``CELL`` (spherical k-means on ``SAMPLE``
+vectors a cell, at most ``CELLS``). Of each vector the residual to its cell's mean is rotated by a fixed
+random rotation and kept as 32 sign bits with three correction scalars. The inner products of a query
+with all codes are sums of four table entries, one for each byte of packed bits; together with the
+scalars they estimate the cosine, and the scalars also give the error bound of the estimate.
+
+The vectors with the best estimates in the ``PROBES`` nearest cells are compared exactly; what they
+reach is a bound that real neighbours pass. Of all other vectors only those are reranked exactly, in
+double precision, whose estimate plus its error reaches the bound, and whole cells are left out whose
+centre and radius show that they cannot. So what is lost is only what lies outside ``EPSILON``
+deviations of its estimate.
+
+Games over ``WHOLE`` vectors are a grid of blocks of queries (about ``BLOCK``, at most ``BLOCKS`` a
+game) and parts of up to ``PART`` vectors to search; a task has one block and one part. Where a game has
+several parts, the best of each part are ranked again.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ WHOLE, CELL, CELLS, SAMPLE, PROBES, BLOCK = 4096, 512, 4096, 48, 24, 4096
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 3.0
 QUERY_ROWS = 256
-#: Vectors that a task searches, blocks of queries a game, and products held at once by one run of queries.
-PART, BLOCKS, COLUMNS = 262_144, 64, 32_768
-#: Rounding of single-precision cosines, with a margin.
+#: Best estimates that are compared exactly first.
+FIRST = 64
+#: Vectors that a task searches, blocks of queries a game, and estimates held at once by one run of queries.
+PART, BLOCKS, COLUMNS = 262_144, 64, 4096
+#: Rounding of single-precision estimates, with a margin.
 ROUNDING = 2e-6
 
 
@@ -59,54 +65,6 @@ def _unit(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search(ids: np.ndarray, x: np.ndarray, home: np.ndarray, k: int = K, tie: float = TIE, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(query id, neighbour id) for the rows marked ``home``, among all rows of ``x`` (unit vectors)."""
-    m, dim = x.shape
-    centre = x.mean(axis=0)
-    turn = rotation(dim)
-    res = x - centre
-    norm = np.linalg.norm(res, axis=1)
-    y = (res / np.maximum(norm, 1e-12)[:, None]) @ turn
-    packed = np.packbits(y > 0, axis=1)
-    fit = np.maximum(np.abs(y).sum(axis=1) / np.sqrt(dim), 1e-6)
-    signs = (np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    scale = (norm / fit).astype(np.float32)
-    wide = (norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * epsilon / np.sqrt(dim - 1)).astype(np.float32) + np.float32(1e-7)
-    base = (res @ centre).astype(np.float32)
-    q = np.flatnonzero(home)
-    near = x[q]
-    found: list[np.ndarray] = []
-    mates: list[np.ndarray] = []
-    for a in range(0, len(q), QUERY_ROWS):
-        rows = q[a : a + QUERY_ROWS]
-        qr = res[rows]
-        # exact cosines to the query's own cell give a bound that only real neighbours pass
-        own = x[rows] @ near.T
-        own[ids[rows][:, None] == ids[q][None, :]] = -2
-        bound = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] >= k else np.full(len(rows), -2.0)
-        est = ((qr @ turn).astype(np.float32) @ signs.T) * scale
-        est += base
-        est += (x[rows] @ centre).astype(np.float32)[:, None]
-        est += np.linalg.norm(qr, axis=1).astype(np.float32)[:, None] * wide
-        i, j = np.nonzero(est >= (bound - tie).astype(np.float32)[:, None] - np.float32(1e-6))
-        keep = ids[rows[i]] != ids[j]
-        i, j = i[keep], j[keep]
-        cos = np.einsum("nd,nd->n", x[rows[i]], x[j])
-        order = np.lexsort((-cos, i))
-        i, j, cos = i[order], j[order], cos[order]
-        start = np.searchsorted(i, np.arange(len(rows)))
-        count = np.bincount(i, minlength=len(rows))
-        if not len(i):
-            continue
-        least = np.where(count >= k, cos[np.minimum(start + k - 1, len(cos) - 1)], -2.0)
-        keep = cos >= least[i] - tie
-        found.append(ids[rows[i[keep]]])
-        mates.append(ids[j[keep]])
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found), np.concatenate(mates)
-
-
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[a : a + 8192] @ c.T, axis=1) for a in range(0, len(x), 8192)] or [np.empty(0, int)])
 
@@ -124,14 +82,61 @@ def _centres(x: np.ndarray, cell: int, cells: int) -> np.ndarray:
     return c
 
 
+class Codes:
+    """Packed sign bits of vectors in cells, and the scalars that make estimates of inner products from them."""
+
+    #: Signs of the eight bits of every byte.
+    SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T
+
+    def __init__(self, x: np.ndarray, at: np.ndarray, cells: int, epsilon: float):
+        dim = x.shape[1]
+        self.turn = rotation(dim)
+        count = np.maximum(np.bincount(at, minlength=cells), 1)
+        mean = np.zeros((cells, dim))
+        np.add.at(mean, at, x)
+        self.mean, self.at = mean / count[:, None], at
+        res = x - self.mean[at]
+        norm = np.linalg.norm(res, axis=1)
+        y = (res / np.maximum(norm, 1e-12)[:, None]) @ self.turn
+        self.packed = np.packbits(y > 0, axis=1)
+        fit = np.maximum(np.abs(y).sum(axis=1) / np.sqrt(dim), 1e-6)
+        self.scale = (norm / fit / np.sqrt(dim)).astype(np.float32)
+        self.wide = (norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * epsilon / np.sqrt(dim - 1)).astype(np.float32)
+        # what the mean of the own cell adds to an estimate
+        of = np.zeros(len(x), np.float32)
+        table = self.tables(self.mean)
+        for byte in range(self.packed.shape[1]):
+            of += table[byte, self.packed[:, byte], at]
+        self.base = (np.einsum("nd,nd->n", self.mean[at], res) - self.scale * of).astype(np.float32)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Sums of each byte's possible signs with the rotated vectors: (byte, 256, vector)."""
+        turned = (q @ self.turn).astype(np.float32).reshape(len(q), -1, 8)
+        return np.ascontiguousarray(np.matmul(turned.transpose(1, 0, 2), self.SIGNS).transpose(0, 2, 1))
+
+    def estimates(self, table: np.ndarray, to_mean: np.ndarray, away: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimates, upper ends of their errors) of the cosines of some vectors with queries, given by their tables: (vector, query)."""
+        code, at = self.packed[cols], self.at[cols]
+        est = table[0][code[:, 0]]
+        for byte in range(1, code.shape[1]):
+            est += table[byte][code[:, byte]]
+        est *= self.scale[cols][:, None]
+        est += self.base[cols][:, None]
+        est += to_mean[at]
+        upper = away[at]
+        upper *= self.wide[cols][:, None]
+        upper += est
+        return est, upper
+
+
 def search_cells(
-    ids: np.ndarray, x: np.ndarray, ask: np.ndarray, base: np.ndarray, k: int = K, tie: float = TIE, cell: int = CELL, cells: int = CELLS, probes: int = PROBES
+    ids: np.ndarray, x: np.ndarray, ask: np.ndarray, base: np.ndarray, k: int = K, tie: float = TIE, cell: int = CELL, cells: int = CELLS, probes: int = PROBES, epsilon: float = EPSILON
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, neighbour id, cosine) for the rows marked ``ask``, among the rows marked ``base`` (unit vectors): exact."""
+    """(query id, neighbour id, cosine) for the rows marked ``ask``, among the rows marked ``base`` (unit vectors), all ties included."""
     q, b = np.flatnonzero(ask), np.flatnonzero(base)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     if not len(q) or not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return none
     c = _centres(x[b], cell, cells)
     at = _nearest(x[b], c)
     order = np.argsort(at, kind="stable")
@@ -140,34 +145,53 @@ def search_cells(
     full = np.flatnonzero(np.diff(first))
     radius = np.zeros(len(c))
     radius[full] = np.arccos(np.clip(np.minimum.reduceat(np.einsum("nd,nd->n", x[b], c[at]), first[full]), -1, 1))
-    single = x[b].astype(np.float32)
+    codes = Codes(x[b], at, len(c), epsilon)
+    size = np.einsum("nd,nd->n", codes.mean, codes.mean)
     q = q[np.argsort(_nearest(x[q], c), kind="stable")]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(q), QUERY_ROWS):
         rows = q[a : a + QUERY_ROWS]
-        ours = x[rows].astype(np.float32)
+        table = codes.tables(x[rows])
+        exact = x[rows] @ codes.mean.T
+        away = np.ascontiguousarray(np.sqrt(np.maximum(1 - 2 * exact + size, 0)).astype(np.float32).T)
+        to_mean = np.ascontiguousarray(exact.astype(np.float32).T) + np.float32(ROUNDING)
         to = np.clip(x[rows] @ c.T, -1, 1)
+
+        single = x[rows].astype(np.float32)
+
+        def passing(cols: np.ndarray, upper: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(query, vector, cosine) of the vectors that may reach the bound of some query; a query is none of its own neighbours."""
+            least = (bound - tie).astype(np.float32)
+            of = b[cols[(upper >= least).any(axis=1)]]
+            # in single precision first, so that double precision has little left
+            j, i = np.nonzero(x[of].astype(np.float32) @ single.T >= least - np.float32(ROUNDING))
+            j = of[j]
+            other = rows[i] != j
+            i, j = i[other], j[other]
+            cos = np.einsum("nd,nd->n", x[rows[i]], x[j])
+            keep = cos >= bound[i] - tie
+            return i[keep], j[keep], cos[keep]
+
         near = full[np.argsort(-to.max(axis=0)[full], kind="stable")[:probes]]
         cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in near])
-        s = ours @ single[cols].T
-        # one more than k, for the query itself may be among them
-        bound = np.partition(s, -k - 1, axis=1)[:, -k - 1] if len(cols) > k else np.full(len(rows), -2.0, np.float32)
-        bound = bound - tie - ROUNDING
+        est, upper = codes.estimates(table, to_mean, away, cols)
+        # the k-th of a few that look best, exactly: no real neighbour is below it; one more, for the query itself may be among them
+        m = min(FIRST, len(cols))
+        best = cols[np.argpartition(np.ascontiguousarray(est.T), len(cols) - m, axis=1)[:, len(cols) - m :]]
+        cos = np.einsum("qmd,qd->qm", x[b[best]], x[rows])
+        cos[b[best] == rows[:, None]] = -2
+        bound = np.partition(cos, m - k, axis=1)[:, m - k] if m >= k else np.full(len(rows), -2.0)
+        hits = [passing(cols, upper, bound)]
         # the largest cosine that a vector of the cell can have with the query
         most = np.cos(np.maximum(np.arccos(to) - radius - 1e-7, 0))
-        more = np.setdiff1d(full[(most >= bound[:, None]).any(axis=0)[full]], near)
-        i, j = np.nonzero(s >= bound[:, None])
-        hits = [(i, cols[j])]
+        more = np.setdiff1d(full[(most >= (bound - tie)[:, None]).any(axis=0)[full]], near)
         cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in more]) if len(more) else np.empty(0, np.int64)
         for d in range(0, len(cols), COLUMNS):
-            i, j = np.nonzero(ours @ single[cols[d : d + COLUMNS]].T >= bound[:, None])
-            hits.append((i, cols[d + j]))
-        i, j = (np.concatenate(h) for h in zip(*hits))
-        j = b[j]
-        keep = rows[i] != j
-        i, j = i[keep], j[keep]
+            some = cols[d : d + COLUMNS]
+            hits.append(passing(some, codes.estimates(table, to_mean, away, some)[1], bound))
+        i, j, cos = (np.concatenate(h) for h in zip(*hits))
         if not len(i):
             continue
-        cos = np.einsum("nd,nd->n", x[rows[i]], x[j])
         order = np.lexsort((-cos, i))
         i, j, cos = i[order], j[order], cos[order]
         start = np.searchsorted(i, np.arange(len(rows)))
@@ -175,9 +199,7 @@ def search_cells(
         least = np.where(count >= k, cos[np.minimum(start + k - 1, len(cos) - 1)], -2.0)
         keep = cos >= least[i] - tie
         found.append((ids[rows[i[keep]]], ids[j[keep]], cos[keep]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(f) for f in zip(*found))
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else none
 
 
 def nearest(
@@ -187,7 +209,7 @@ def nearest(
 
     ``df`` has ``id, spiel_id, emb`` (other columns are not used). Unusable vectors and rows without
     id or game neither ask nor answer; repeated ids are one vector; a game of up to ``k`` others gives
-    all of them. Exact but, in games up to ``whole`` vectors, for the error bound of the codes.
+    all of them. Exact but for the error bound of the codes.
     """
     v = usable(df.select("id", "spiel_id", "emb").where("id is not null and spiel_id is not null"))
     size = v.groupBy("spiel_id").agg(F.count(F.lit(1)).alias("n"))
@@ -213,11 +235,7 @@ def nearest(
                 continue
             x = _unit(t.column("emb"), DIM)[first]
             ask, base = (t.column(n).to_numpy(zero_copy_only=False)[first].astype(bool) for n in ("ask", "base"))
-            if t.column("part")[0].as_py() < 0:
-                a, b = search(ids, x, ask, k=k, epsilon=epsilon)
-                cos = np.zeros(len(a))
-            else:
-                a, b, cos = search_cells(ids, x, ask, base, k=k, cell=cell, cells=cells, probes=probes)
+            a, b, cos = search_cells(ids, x, ask, base, k=k, cell=cell, cells=cells, probes=probes, epsilon=epsilon)
             game = t.column("spiel_id")[0].as_py()
             for s in range(0, len(a), 100_000):
                 n = len(a[s : s + 100_000])
