@@ -6,17 +6,21 @@ that true label, smoothed towards the average judge. Consensus and these leave-o
 alternate until the weights stand still. Judges who always say the same or guess get no weight,
 those who swap labels get a telling one.
 
-The votes stay partitioned by question over all rounds, so that a round shuffles only three sums
-per judge and label; the judges' table is broadcast as long as it is below a checked size.
+The votes of a question are packed in one row, once. A round is one pass over these rows with the
+weights of all judges, in numpy, and gives three sums per judge and label; no vote is shuffled again.
+Where there are too many judges for a table that travels to the tasks, weights are joined instead.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from groundwork.session import cut, table
 
@@ -25,7 +29,8 @@ LABELS = ("richtig", "teilweise", "falsch")
 #: Up to so many (judge, label) rows the weights travel as a broadcast table; beyond, by a join.
 BROADCAST_ROWS = 300_000
 SMOOTHING = 6.0
-ROUNDS = 25
+#: Rounds at most, with a warning if the weights still move by more than TOLERANCE then.
+ROUNDS = 100
 TOLERANCE = 1e-3
 
 
@@ -66,7 +71,132 @@ def _weights(sums: DataFrame) -> DataFrame:
     return s.select(*out)
 
 
-def consensus(verdicts: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+def _left_out(weights: np.ndarray, prior: np.ndarray, vote: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Shares of the three labels for every vote by the other votes of its question; ``size`` are the votes of each question."""
+    w = weights[vote]
+    total = np.add.reduceat(w, np.cumsum(size) - size, axis=0) if len(w) else np.zeros((0, 3))
+    rest = np.repeat(total, size, axis=0) - w + prior
+    e = np.exp(rest - rest.max(axis=1, keepdims=True)) if len(w) else rest
+    return e / e.sum(axis=1, keepdims=True)
+
+
+class Packed:
+    """Votes as one row a question, for as many judges as can travel to the tasks."""
+
+    def __init__(self, v: DataFrame, judges: list[str], prior: list[float]):
+        self.judges, self.prior = sorted(judges), np.array(prior)
+        shared = v.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(self.judges)})
+
+        def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = shared.value
+            for b in batches:
+                d = b.to_pydict()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([number[j] * 3 + LABELS.index(x) for j, x in zip(d["pruefer"], d["label"])], pa.int32())], names=["spiel_id", "frage_id", "vote"])
+
+        coded = v.select("spiel_id", "frage_id", "pruefer", "label").mapInArrow(code, "spiel_id string, frage_id int, vote int")
+        # a question has one vote of a judge at most, so its row is bounded by the judges
+        self.rows = cut(coded.groupBy("spiel_id", "frage_id").agg(F.sort_array(F.collect_list("vote")).alias("votes")))
+        first = np.full((3, 3), 0.15) + np.eye(3) * 0.55
+        self.weights = np.tile(np.log(first), (len(self.judges), 1))
+
+    def sums(self, own: bool = False) -> np.ndarray:
+        """Per judge and label the shares of each truth by the others' votes; with ``own`` those of the label itself and the votes."""
+        weights, prior, n = self.weights, self.prior, 3 * len(self.judges)
+        shared = self.rows.sparkSession.sparkContext.broadcast(weights)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n, 3))
+            for b in batches:
+                votes = b.column(0)
+                size = np.diff(votes.offsets.to_numpy()).astype(np.int64)
+                vote = votes.flatten().to_numpy().astype(np.int64)
+                p = _left_out(shared.value, prior, vote, size)
+                if own:
+                    p = np.column_stack([p[np.arange(len(vote)), vote % 3], np.ones(len(vote)), np.zeros(len(vote))])
+                for k in range(3):
+                    total[:, k] += np.bincount(vote, p[:, k], n)
+            some = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(total[some, k]) for k in range(3))], names=["i", "c0", "c1", "c2"])
+
+        out = np.zeros((n, 3))
+        t = self.rows.select("votes").mapInArrow(run, "i bigint, c0 double, c1 double, c2 double").groupBy("i").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(3)])
+        for r in t.collect():  # three rows a judge, below BROADCAST_ROWS
+            out[r["i"]] = r["c0"], r["c1"], r["c2"]
+        shared.unpersist()
+        return out
+
+    def round(self) -> float:
+        """New weights out of the others' consensus; how far the farthest moved."""
+        c = self.sums()
+        base = np.tile(np.eye(3) * 0.55 + 0.15, (len(self.judges), 1))
+        judge = np.repeat(c.reshape(-1, 3, 3).sum(axis=1), 3, axis=0)
+        new = np.log((c + SMOOTHING * base) / (judge + SMOOTHING))
+        moved = float(np.abs(new - self.weights).max()) if len(new) else 0.0
+        self.weights = new
+        return moved
+
+    def soft(self) -> DataFrame:
+        """(spiel_id, frage_id, stimmen, p0, p1, p2) of every question with a vote."""
+        prior = self.prior
+        shared = self.rows.sparkSession.sparkContext.broadcast(self.weights)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                votes = b.column(2)
+                size = np.diff(votes.offsets.to_numpy()).astype(np.int64)
+                w = shared.value[votes.flatten().to_numpy().astype(np.int64)]
+                total = np.add.reduceat(w, np.cumsum(size) - size, axis=0) + prior if len(w) else np.zeros((0, 3))
+                e = np.exp(total - total.max(axis=1, keepdims=True)) if len(w) else total
+                p = e / e.sum(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), *(pa.array(p[:, k]) for k in range(3))], names=["spiel_id", "frage_id", "stimmen", "p0", "p1", "p2"])
+
+        return self.rows.mapInArrow(run, "spiel_id string, frage_id int, stimmen bigint, p0 double, p1 double, p2 double")
+
+    def reliable(self) -> DataFrame:
+        """(pruefer, hit, stimmen): sums of the others' shares of what a judge said."""
+        c = self.sums(own=True).reshape(-1, 3, 3).sum(axis=1)
+        rows = [(j, float(x[0]), int(x[1])) for j, x in zip(self.judges, c)]
+        return self.rows.sparkSession.createDataFrame(rows, "pruefer string, hit double, stimmen bigint")
+
+
+class Joined:
+    """The same for any number of judges: weights are a table that every round joins to the votes."""
+
+    def __init__(self, v: DataFrame, prior: list[float]):
+        self.v, self.prior = cut(v.repartition("spiel_id", "frage_id")), prior
+        self.names = [f"w{k}" for k in range(3)]
+        self.weights: DataFrame | None = None
+
+    def weighted(self) -> DataFrame:
+        if self.weights is None:
+            first = [F.when(F.col("label") == x, math.log(0.7)).otherwise(math.log(0.15)).alias(n) for n, x in zip(self.names, LABELS)]
+            return self.v.select("spiel_id", "frage_id", "pruefer", "label", *first)
+        return self.v.join(self.weights, ["pruefer", "label"]).select("spiel_id", "frage_id", "pruefer", "label", *self.names)
+
+    def left_out(self) -> DataFrame:
+        q = Window.partitionBy("spiel_id", "frage_id")
+        p = self.weighted().select("pruefer", "label", *[(F.sum(n).over(q) - F.col(n) + x).alias(f"r{k}") for k, (n, x) in enumerate(zip(self.names, self.prior))])
+        return p.select("pruefer", "label", *[s.alias(f"p{k}") for k, s in enumerate(_softmax([F.col(f"r{k}") for k in range(3)]))])
+
+    def round(self) -> float:
+        new = cut(_weights(self.left_out().groupBy("pruefer", "label").agg(*[F.sum(f"p{k}").alias(f"c{k}") for k in range(3)])))
+        moved = math.inf
+        if self.weights is not None:
+            old = self.weights.select("pruefer", "label", *[F.col(n).alias(f"o{n}") for n in self.names])
+            moved = new.join(old, ["pruefer", "label"]).agg(F.max(F.greatest(*[F.abs(F.col(n) - F.col(f"o{n}")) for n in self.names]))).first()[0] or 0.0
+        self.weights = new
+        return moved
+
+    def soft(self) -> DataFrame:
+        t = self.weighted().groupBy("spiel_id", "frage_id").agg(*[(F.sum(n) + x).alias(n) for n, x in zip(self.names, self.prior)], F.count(F.lit(1)).alias("stimmen"))
+        return t.select("spiel_id", "frage_id", "stimmen", *[s.alias(f"p{k}") for k, s in enumerate(_softmax([F.col(n) for n in self.names]))])
+
+    def reliable(self) -> DataFrame:
+        hit = F.when(F.col("label") == LABELS[0], F.col("p0")).when(F.col("label") == LABELS[1], F.col("p1")).otherwise(F.col("p2"))
+        return self.left_out().groupBy("pruefer").agg(F.sum(hit).alias("hit"), F.count(F.lit(1)).alias("stimmen"))
+
+
+def consensus(verdicts: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(questions, judges) of a table of verdicts.
 
     questions: ``spiel_id, frage_id, urteil, sicherheit, stimmen``, one row for every question with
@@ -74,51 +204,22 @@ def consensus(verdicts: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLE
     ``sicherheit`` null). judges: ``pruefer, verlaesslichkeit, stimmen``, the leave-one-out smoothed
     accuracy. Ties take the first of ``LABELS``. An empty table gives two empty tables.
     """
-    spark = verdicts.sparkSession
-    v = votes(verdicts).repartition("spiel_id", "frage_id").sortWithinPartitions("spiel_id", "frage_id").persist(StorageLevel.MEMORY_AND_DISK)
-    q = Window.partitionBy("spiel_id", "frage_id")
-    first = [F.when(F.col("label") == x, math.log(0.7)).otherwise(math.log(0.15)).alias(f"w{k}") for k, x in enumerate(LABELS)]
-    names = [f"w{k}" for k in range(3)]
-    shares = v.groupBy("label").count().collect()  # at most three rows
-    counts = {r["label"]: r["count"] for r in shares}
+    v = votes(verdicts)
+    counts = {r["label"]: r["count"] for r in v.groupBy("label").count().collect()}  # at most three rows
     every = sum(counts.values())
     prior = [math.log((counts.get(x, 0) + 1) / (every + 3)) for x in LABELS]
-    small = v.select("pruefer").distinct().count() * 3 <= BROADCAST_ROWS
-    weights, before = None, None
-
-    def weighted():
-        if weights is None:
-            return v.select("spiel_id", "frage_id", "pruefer", "label", *first)
-        return v.join(F.broadcast(weights) if small else weights, ["pruefer", "label"]).select("spiel_id", "frage_id", "pruefer", "label", *names)
-
+    judges = [r["pruefer"] for r in v.select("pruefer").distinct().limit(broadcast_rows // 3 + 1).collect()]
+    state = Packed(v, judges, prior) if len(judges) * 3 <= broadcast_rows else Joined(v, prior)
+    moved = math.inf
     for _ in range(rounds if every else 0):
-        w = weighted()
-        rest = [F.sum(n).over(q) - F.col(n) + p for n, p in zip(names, prior)]
-        p = w.select("pruefer", "label", *[r.alias(f"r{k}") for k, r in enumerate(rest)])
-        soft = p.select("pruefer", "label", *[s.alias(f"p{k}") for k, s in enumerate(_softmax([F.col(f"r{k}") for k in range(3)]))])
-        sums = soft.groupBy("pruefer", "label").agg(*[F.sum(f"p{k}").alias(f"c{k}") for k in range(3)])
-        if small:
-            rows = _weights(spark.createDataFrame(sums.collect(), sums.schema)).collect()  # below BROADCAST_ROWS by the count above
-            now = {(r["pruefer"], r["label"]): (r["w0"], r["w1"], r["w2"]) for r in rows}
-            weights = spark.createDataFrame([(*k, *x) for k, x in now.items()], "pruefer string, label string, w0 double, w1 double, w2 double")
-            moved = max(abs(a - b) for k, x in now.items() for a, b in zip(x, before[k])) if before else math.inf
-            before = now
-        else:
-            new = cut(_weights(sums))
-            moved = math.inf
-            if weights is not None:
-                old = weights.select("pruefer", "label", *[F.col(n).alias(f"o{n}") for n in names])
-                moved = new.join(old, ["pruefer", "label"]).agg(F.max(F.greatest(*[F.abs(F.col(n) - F.col(f"o{n}")) for n in names]))).first()[0]
-            weights = new
+        moved = state.round()
         if moved < tolerance:
             break
-
-    w = weighted()
-    totals = w.groupBy("spiel_id", "frage_id").agg(*[(F.sum(n) + p).alias(n) for n, p in zip(names, prior)], F.count(F.lit(1)).alias("stimmen"))
-    soft = totals.select("spiel_id", "frage_id", "stimmen", *[s.alias(f"p{k}") for k, s in enumerate(_softmax([F.col(n) for n in names]))])
+    if every and moved >= tolerance:
+        warnings.warn(f"weights still moved by {moved:.2g} after {rounds} rounds", RuntimeWarning, stacklevel=2)
     best = F.greatest("p0", "p1", "p2")
     label = F.when(F.col("p0") == best, LABELS[0]).when(F.col("p1") == best, LABELS[1]).otherwise(LABELS[2])
-    found = soft.select("spiel_id", "frage_id", label.alias("urteil"), best.alias("sicherheit"), "stimmen")
+    found = state.soft().select("spiel_id", "frage_id", label.alias("urteil"), best.alias("sicherheit"), "stimmen")
     asked = verdicts.where("spiel_id is not null").select("spiel_id", "frage_id").distinct()
     common = max(LABELS, key=lambda x: (counts.get(x, 0), -LABELS.index(x)))
     a, f = asked.alias("a"), found.alias("f")
@@ -126,12 +227,8 @@ def consensus(verdicts: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLE
     questions = a.join(f, same, "left").select(
         "a.spiel_id", "a.frage_id", F.coalesce("f.urteil", F.lit(common)).alias("urteil"), "f.sicherheit", F.coalesce("f.stimmen", F.lit(0)).alias("stimmen")
     )
-    rest = [F.sum(n).over(q) - F.col(n) + p for n, p in zip(names, prior)]
-    loo = w.select("pruefer", "label", *[r.alias(f"r{k}") for k, r in enumerate(rest)])
-    loo = loo.select("pruefer", "label", *[s.alias(f"p{k}") for k, s in enumerate(_softmax([F.col(f"r{k}") for k in range(3)]))])
-    hit = F.when(F.col("label") == LABELS[0], F.col("p0")).when(F.col("label") == LABELS[1], F.col("p1")).otherwise(F.col("p2"))
-    judges = loo.groupBy("pruefer").agg(((F.sum(hit) + 0.5 * SMOOTHING) / (F.count(F.lit(1)) + SMOOTHING)).alias("verlaesslichkeit"), F.count(F.lit(1)).alias("stimmen"))
-    return questions, judges
+    reliability = (F.col("hit") + 0.5 * SMOOTHING) / (F.col("stimmen") + SMOOTHING)
+    return questions, state.reliable().select("pruefer", reliability.alias("verlaesslichkeit"), "stimmen")
 
 
 def agreement(verdicts: DataFrame) -> DataFrame:

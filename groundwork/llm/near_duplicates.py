@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.arrow import groups
@@ -344,6 +344,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds in turn; each is two shuffles of the edges, which are cut to the
     checkpoint folder, and their number grows with the logarithm of the longest chain.
     """
+    if rounds < 1:
+        raise ValueError("at least one round")
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -357,6 +359,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = new
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components are not closed after {rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
@@ -369,8 +373,10 @@ def near_duplicate_groups(df: DataFrame, id: str = "id", text: str = "text", sim
     text. Other columns of ``df`` are not used.
     """
     texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    same = Window.partitionBy("h1", "h2", "n")
-    member = cut(named(texts).distinct().withColumn("rep", F.min("id").over(same)).select("id", "rep"))
+    # the least id of each set is found by an aggregate that combines before the shuffle; the copies of one text are many at times
+    sets = cut(named(texts).distinct())
+    first = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    member = cut(sets.join(first, ["h1", "h2", "n"]).select("id", "rep"))
     copies = member.where("id <> rep").select("id")
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)

@@ -51,6 +51,11 @@ def test_consensus_trusts_reliable_judges(spark):
     assert got[777] in labels and len(got) == 301
     trust = {x.pruefer: x.verlaesslichkeit for x in judges.collect()}
     assert min(trust[f"j{k}"] for k in range(4)) > max(trust[f"j{k}"] for k in range(4, 7))
+    # the way for many judges gives the same
+    joined = consensus.consensus(d.unionByName(extra), broadcast_rows=0)
+    assert {x.frage_id: x.urteil for x in joined[0].collect()} == got and {x.pruefer: round(x.verlaesslichkeit, 3) for x in joined[1].collect()} == {k: round(v, 3) for k, v in trust.items()}
+    with pytest.warns(RuntimeWarning):
+        consensus.consensus(d, rounds=1)
     q, j = consensus.consensus(d.limit(0))
     assert q.count() == 0 and j.count() == 0
     assert consensus.agreement(d.limit(0)).first().alpha is None
@@ -160,6 +165,12 @@ def test_near_duplicates_joined_by_common_text_only(spark):
     assert {(r.id, r.root) for r in near_duplicates.near_duplicate_groups(d, long=5).collect()} == want
 
 
+def test_components_unfinished(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="not closed"):
+        near_duplicates.components(chain, rounds=1)
+
+
 def test_components_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.root for r in near_duplicates.components(e).where("id <= 40").collect()} == {0}
