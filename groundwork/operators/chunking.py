@@ -56,3 +56,26 @@ def paragraph_blocks(text: Column, target: int = 1200) -> Column:
         return F.struct(done.alias("done"), cur.alias("cur"))
 
     return F.aggregate(paragraphs, zero, step, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+
+def page_chunks(pages: DataFrame, page: str, text: str, size: int, overlap: int) -> DataFrame:
+    """``pages`` (of any reader) as windows of their text with runs of whitespace collapsed; pages without text give none."""
+    spaced = pages.withColumn(text, F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " ")))
+    return chunk_windows(spaced.where(F.col(text) != "").where(F.col(page).isNotNull()), text, size, overlap)
+
+
+def pages_read(files: DataFrame, read, schema: str) -> DataFrame:
+    """Rows out of whole files: ``read(path, content)`` yields one tuple a page. The seam for readers that Spark lacks.
+
+    ``files`` is a ``binaryFile`` table; a task reads one file at a time.
+    """
+    import pandas as pd
+
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(parts):
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                yield pd.DataFrame(list(read(path, content)), columns=names)
+
+    return files.select("path", "content").mapInPandas(run, schema)

@@ -94,3 +94,19 @@ def worst(df: DataFrame, key: str, part: str, whole: str) -> DataFrame:
     """The group with the largest rate, on ties the largest key; groups without denominator don't count."""
     q = rate(F.col(part), F.col(whole))
     return df.where(F.col(whole) > 0).agg(F.max_by(F.struct(F.col(key).alias("gruppe"), F.col(part).alias("zaehler"), F.col(whole).alias("nenner")), F.struct(q.alias("q"), F.col(key).alias("k"))).alias("w")).select("w.*")
+
+
+def retrieved_pages(hits: DataFrame, by: list[str], rank: str, book: str, pages: str) -> DataFrame:
+    """(by, abgerufen): every page that any hit spans, with its book, in rank order and once each."""
+    one = F.struct(F.col(rank).alias("r"), F.transform(pages, lambda p: F.struct(F.col(book).alias("buch_id"), p.alias("seite"))).alias("p"))
+    g = hits.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_h"))
+    return g.select(*by, F.array_distinct(F.flatten(F.transform("_h", lambda x: x["p"]))).alias("abgerufen"))
+
+
+def comparison(rows: DataFrame, setting: str, base: str, question: list[str]) -> DataFrame:
+    """(setting, verbessert, verschlechtert): questions that all runs of a setting judge better, or worse, than all runs of ``base``."""
+    score = F.coalesce(*[F.when(F.col("urteil") == k, F.lit(v)) for k, v in ORDER.items()])
+    g = rows.groupBy(setting, *question).agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(score).alias("n"), F.count(F.lit(1)).alias("m")).where("n = m and n >= 2")
+    b = g.where(F.col(setting) == base).select(*question, F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    j = g.where(F.col(setting) != base).join(b, question)
+    return j.groupBy(setting).agg(F.count_if(F.col("lo") > F.col("bhi")).alias("verbessert"), F.count_if(F.col("hi") < F.col("blo")).alias("verschlechtert"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "measurement", "books", "judging", "state")
+MODULES = ("retrieval", "measurement", "books", "judging", "state", "models")
 FLAGSHIP = "hybrid_topk"
 
 QUERIES: dict = {}
