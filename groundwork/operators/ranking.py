@@ -20,8 +20,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalized(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v)) + F.lit(1e-9)
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    # repeated, as a lambda would take the norm anew for every element
+    norms = F.array_repeat(F.sqrt(dot(v, v)) + F.lit(1e-9), F.size(v))
+    return F.zip_with(v, norms, lambda x, n: x.cast("double") / n)
 
 
 def ranked(df: DataFrame, by: list[str], score: str, ties: list[str], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -59,11 +60,12 @@ def equal_to(df: DataFrame, **values) -> DataFrame:
 BLOCK = 20_000
 
 
-def gridded(questions: DataFrame, chunks: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table], block: int = BLOCK) -> DataFrame:
+def gridded(questions: DataFrame, chunks: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table], block: int = BLOCK, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(question, id, pos, score) of ``best`` over all pairs of a block of questions and a block of chunks of one collection.
 
     A collection of any size is a grid of blocks of bounded size, so no task holds a hot collection; both
     sides have ``collection``, questions ``question``, chunks ``id``. Only what ``best`` returns is shuffled on.
+    ``prepare`` is done to the chunks where the blocks are, behind their one shuffle.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -80,6 +82,8 @@ def gridded(questions: DataFrame, chunks: DataFrame, best: Callable[[pa.Table, p
     left = questions.join(grid, "collection").withColumn("qb", at("question", "_q")).withColumn("cb", every("_c")).drop("_q", "_c")
     right = chunks.join(grid, "collection").withColumn("cb", at("id", "_c")).withColumn("qb", every("_q")).drop("_q", "_c")
     keys = ["collection", "qb", "cb"]
+    if prepare:
+        right = prepare(right.repartition(*keys))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "question string, id bigint, pos int, score double")
 
 
@@ -119,7 +123,7 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, collection: str, k: int
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list = []
         if left.num_rows and right.num_rows:
-            a, b = (np.vstack(t[c].to_numpy()).astype(np.float64) for t, c in ((left, "q"), (right, "v")))
+            a, b = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t, c in ((left, "q"), (right, "v")))
             every, order = np.arange(right.num_rows), _order(right)
             for s in range(0, len(a), 512):
                 for i, row in enumerate(np.round(a[s : s + 512] @ b.T, digits)):
@@ -176,11 +180,13 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     take the lower position. Postings live in blocks only: a task inverts its block of chunks and adds up
     the weights question by question, so no pair of question and chunk is shuffled but the best ones.
     """
-    c = chunks.where("text is not null").select("id", F.col("pos").cast("int").alias("pos"), F.col("collection").cast("string").alias("collection"), tokens(F.col("text")).alias("w"))
+    c = chunks.where("text is not null").select("id", F.col("pos").cast("int").alias("pos"), F.col("collection").cast("string").alias("collection"), "text")
+    cut = lambda df: df.withColumn("w", tokens(F.col("text"))).drop("text")
     q = questions.select(F.col("question").cast("string").alias("question"), F.col("collection").cast("string").alias("collection"), F.array_distinct(tokens(F.col("frage"))).alias("w"))
     asked = q.select("question", "collection", F.explode("w").alias("term"))
-    df = c.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = c.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.size("w") + 1).alias("mean"))
+    counted = cut(c)
+    df = counted.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = counted.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg(F.size("w") + 1).alias("mean"))
     # a table of one row
     df = df.join(F.broadcast(total))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -216,7 +222,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                     score[of] = 0
         return _kept(left["question"], right, rows)
 
-    return ranked(gridded(weighed, c, best), ["question"], "score", ["pos", "id"], k).select("question", "id", "score", "rank")
+    return ranked(gridded(weighed, c, best, prepare=cut), ["question"], "score", ["pos", "id"], k).select("question", "id", "score", "rank")
 
 
 def fused(lists: list[DataFrame], n: int, constant: int = 60) -> DataFrame:

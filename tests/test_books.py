@@ -179,7 +179,7 @@ def test_ranking_in_blocks(spark, monkeypatch):
     whole = rows(R.bm25(q, c, 5)), rows(R.vector_topk(q, c, "collection", 5))
     assert whole[1] == rows(R.pairwise_topk(q, c, "collection", 5))
     grid = R.gridded
-    monkeypatch.setattr(R, "gridded", lambda a, b, f: grid(a, b, f, block=7))
+    monkeypatch.setattr(R, "gridded", lambda a, b, f, **more: grid(a, b, f, block=7, **more))
     assert (rows(R.bm25(q, c, 5)), rows(R.vector_topk(q, c, "collection", 5))) == whole
     assert R.bm25(q.limit(0), c, 5).count() == 0 and R.hybrid(q, c.limit(0), 5).count() == 0
 
