@@ -423,5 +423,19 @@ g as (select id, min(m) m from r group by id)
 select x.id id_a, y.id id_b from g x join g y on x.m = y.m and x.id < y.id
 """
 
+GROUPS_SQL = r"""
+with recursive w as (select id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: true) w from chunks where text is not null),
+s as (select id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from w where len(w) >= 20),
+k as (select id, s, min(id) over (partition by list_sort(s)) rep from s), x as (select id, s from k where id = rep),
+e as (select id, unnest(s) t from x),
+o as (select a.id a, b.id b, count(*) n from e a join e b on a.t = b.t and a.id < b.id group by 1, 2),
+l as (select a, b from o join x p on p.id = a join x q on q.id = b where n >= 0.5 * (len(p.s) + len(q.s) - n)),
+d as (select a, b from l union select b, a from l),
+r(id, m) as (select a, a from d union select d.b, r.m from r join d on d.a = r.id where r.m < d.b),
+g as (select id, min(m) m from r group by id), n as (select a id, count(*) n from d group by 1),
+z as (select k.id, coalesce(g.m, k.rep) root, coalesce(n.n, 0) links from k left join g on g.id = k.rep left join n on n.id = k.rep)
+select id, root, links from z where root in (select root from z group by 1 having count(*) > 1)
+"""
+
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-SQL = {"p6_found": P6_SQL}
+SQL = {"p6_found": P6_SQL, "p6_groups": GROUPS_SQL}

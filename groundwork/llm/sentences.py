@@ -113,11 +113,21 @@ class Learned:
     def __init__(self, rows: Iterable[tuple[str, str, str]]):
         self.kinds: dict[str, set] = defaultdict(set)
         self.common: dict[str, list[str]] = defaultdict(list)
+        self.memo: dict[str, list[str] | tuple] = {}
         for kind, lang, word in rows:
             self.kinds[kind].add((lang, word))
             if kind == "common":
                 self.common[word].append(lang)
 
+    def languages(self, word: str) -> Iterable[str]:
+        """The languages of which a word, as it stands between blanks, is a common one."""
+        known = self.memo.get(word)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            known = self.memo[word] = self.common.get(word.strip(EDGES), ())
+        return known
+
     def has(self, kind: str, lang: str, word: str) -> bool:
         return (lang, word) in self.kinds[kind]
 
@@ -322,18 +332,24 @@ def main_language(text: str, lang: str | None, learned: Learned) -> str:
     own = labelled(text, lang)
     if own in ("th", "wide", "hi") or not learned.common:
         return own
-    seen: Counter = Counter()
+    seen: dict[str, int] = {}
     # words between blanks, without the signs at their ends
-    for w in learned.common.keys() & {x.strip(EDGES) for x in set(text.lower().split())}:
-        seen.update(learned.common[w])
+    for x in set(text.lower().split()):
+        for code in learned.languages(x):
+            seen[code] = seen.get(code, 0) + 1
     return max(seen, key=lambda x: (seen[x], x == own, x)) if seen else own
 
 
 def count(text: str, lang: str, c: Counter) -> None:
     """Adds a text's sums: all words, words with a period and what follows it, words at starts."""
-    every: Counter = Counter("#" if w[0].isdigit() else w for w in TOKEN.findall(text.lower()))
-    for w, n in every.items():
-        c[("n", lang, w, "")] += n
+    numbers = 0
+    for w, n in Counter(TOKEN.findall(text.lower())).items():
+        if w[0].isdigit():
+            numbers += n
+        else:
+            c[("n", lang, w, "")] += n
+    if numbers:
+        c[("n", lang, "#", "")] += numbers
     for a, b in blocks(text):
         m = MARK.match(text, a, b)
         first = TOKEN.search(text, m.end() if m else a, b)
