@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "measurement", "books", "judging", "state", "models")
+MODULES = ("retrieval", "measurement", "books", "judging", "state", "models", "records")
 FLAGSHIP = "hybrid_topk"
 
 QUERIES: dict = {}
