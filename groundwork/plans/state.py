@@ -255,12 +255,12 @@ MARGIN_SQL = f"with {_LINES} select page, count(*) zeilen, count(*) filter (t +
 
 def heading_levels(spark, d: str) -> DataFrame:
     level = L.layout_decision(F.col("cls"), F.col("text"), F.col("font"), LAYOUT)
-    return _lines(spark, d).select("page", level.alias("ebene")).groupBy("page", "ebene").agg(F.count(F.lit(1)).alias("n"))
+    return _lines(spark, d).select("page", F.coalesce(level, F.lit(0)).alias("ebene")).groupBy("page", "ebene").agg(F.count(F.lit(1)).alias("n"))
 
 
 LEVELS_SQL = f"""
-with {_LINES}, e as (select page, case when cls = 'table' or length(trim(text)) > 60 then null when n % 3 > 0 then case when n % 4 = 0 then 1 when n % 2 = 0 then 2 end when cls = 'section_header' then 1 end ebene from ln)
-select page, ebene, count(*) n from e group by 1, 2
+with {_LINES}, e as (select page, case when cls = 'table' or length(trim(text)) > 60 then null when n % 3 > 0 then case when n % 4 = 0 then 1 when n % 2 = 0 then 2 end when cls = 'section_header' then 1 end e from ln)
+select page, coalesce(e, 0) ebene, count(*) n from e group by 1, 2
 """
 
 
@@ -295,7 +295,7 @@ def majority_font(spark, d: str) -> DataFrame:
     i, g = F.col("id"), F.col("g")
     name = F.when((g + i) % 3 == 0, "ABC+Times-Bold").when((g * i) % 4 == 1, "Times-Italic").otherwise("ABC+Times")
     x = c.select("id", (g * 7.5).alias("x0"), (g * 7.5 + 5).alias("x1"), F.lit(100.04).alias("bottom"), F.when(i % 2 == 0, 10.02).otherwise(9.98 + (g % 2) * 0.5).alias("size"), name.alias("fontname"))
-    m = L.majority_font(x, ["id"])
+    m = L.majority_font(x, ["id"]).where("font is not null")
     return m.select("id", F.round("font.groesse", 1).alias("groesse"), F.col("font.fett").alias("fett"), F.col("font.kursiv").alias("kursiv"), F.round("font.laufweite", 6).alias("laufweite"))
 
 
@@ -304,7 +304,7 @@ with c as (select id, unnest(range(0, 9)) g from chunks), x as (select id, g * 7
   case when (g + id) % 3 = 0 then 1 when (g * id) % 4 = 1 then 2 else 0 end f from c),
 l as (select *, lead(x0) over (partition by id, s, f order by x0) - x1 gap from x), q as (select id, s, f, count(*) n, coalesce(avg(gap), 0) w from l group by 1, 2, 3),
 b as (select id, max(n) m, arg_max({'s': s, 'f': f, 'w': w}, n) z from q group by 1)
-select id, case when m * 2 > 9 then z.s end groesse, case when m * 2 > 9 then z.f = 1 end fett, case when m * 2 > 9 then z.f = 2 end kursiv, case when m * 2 > 9 then round(z.w, 6) end laufweite from b
+select id, z.s groesse, z.f = 1 fett, z.f = 2 kursiv, round(z.w, 6) laufweite from b where m * 2 > 9
 """
 
 
@@ -317,25 +317,26 @@ def glyph_lines(spark, d: str) -> DataFrame:
     glyphs = c.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("glyph_no"))
     g = F.col("glyph_no").cast("double")
     glyphs = glyphs.withColumn("x0", g * 17 + F.col("doc_id") % 5).withColumn("x1", F.col("x0") + 6).withColumn("top", g * 5).withColumn("bottom", F.col("top") + 8)
-    return L.glyphs_to_lines(glyphs, lines).select("doc_id", "glyph_no", "line_no")
+    return L.glyphs_to_lines(glyphs, lines).select("doc_id", "glyph_no", F.coalesce("line_no", F.lit(-1)).alias("line_no"))
 
 
 GLYPH_SQL = """
 with c as (select id from chunks), l as (select id, n, n * 30.0::double x0, n * 30.0::double + 80 x1, n * 10.0::double t, n * 10.0::double + 25 - (id % 3) * 5.0::double b from c, (select unnest(range(0, 4)) n)),
 g as (select id, k, k * 17.0::double + id % 5 + 3 x, k * 5.0::double + 4 y from c, (select unnest(range(0, 10)) k)),
 m as (select g.id, k, arg_min(n, ((x1 - x0) * (b - t), n)) line from g join l on l.id = g.id and x between x0 - 1 and x1 + 1 and y between t - 1 and b + 1 group by 1, 2)
-select g.id doc_id, cast(g.k as int) glyph_no, cast(m.line as int) line_no from g left join m on m.id = g.id and m.k = g.k
+select g.id doc_id, cast(g.k as int) glyph_no, coalesce(cast(m.line as int), -1) line_no from g left join m on m.id = g.id and m.k = g.k
 """
 
 
 def printed_pages(spark, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where("seite_pdf is not null")
     p = L.printed_page(F.col("seite_pdf"), 4)
-    return c.select("id", p.alias("gedruckt"), L.physical_page(p, 4).alias("physisch"), L.labelled_page(F.array(F.lit("i"), F.lit("ii"), F.lit("iii"), F.lit("iv"), F.lit("1"), F.lit("2")), F.least("seite_pdf", F.lit(6))).alias("label"))
+    none = F.lit(-1)
+    return c.select("id", F.coalesce(p, none).alias("gedruckt"), F.coalesce(L.physical_page(p, 4), none).alias("physisch"), F.coalesce(L.labelled_page(F.array(F.lit("i"), F.lit("ii"), F.lit("iii"), F.lit("iv"), F.lit("1"), F.lit("2")), F.least("seite_pdf", F.lit(6))), none).alias("label"))
 
 
 PRINTED_SQL = """
-select id, case when seite_pdf - 4 >= 1 then seite_pdf - 4 end gedruckt, case when seite_pdf - 4 >= 1 then seite_pdf end physisch, case when seite_pdf = 5 then 1 when seite_pdf >= 6 then 2 end label from chunks where seite_pdf is not null
+select id, case when seite_pdf - 4 >= 1 then seite_pdf - 4 else -1 end gedruckt, case when seite_pdf - 4 >= 1 then seite_pdf else -1 end physisch, case when seite_pdf = 5 then 1 when seite_pdf >= 6 then 2 else -1 end label from chunks where seite_pdf is not null
 """
 
 

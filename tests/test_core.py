@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,8 +20,13 @@ def values(df, *cols):
 
 
 def plain(df):
+    def one(x):
+        if x is None or not isinstance(x, str) and pd.isna(x):
+            return "-"
+        return round(float(x), 5) if isinstance(x, float) or "float" in type(x).__name__ else str(x)
+
     df = df[sorted(df.columns)]
-    return sorted([tuple("-" if x is None or x != x else round(float(x), 5) if "float" in type(x).__name__ else str(x) for x in r) for r in df.itertuples(index=False)], key=str)
+    return sorted([tuple(one(x) for x in r) for r in df.itertuples(index=False)], key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
