@@ -6,11 +6,13 @@ random rotation and kept as 32 sign bits with three correction scalars. The inne
 with all codes are sums of four table entries, one for each byte of packed bits; together with the
 scalars they estimate the cosine, and the scalars also give the error bound of the estimate.
 
-The vectors with the best estimates in the ``PROBES`` nearest cells are compared exactly; what they
-reach is a bound that real neighbours pass. Of all other vectors only those are reranked exactly, in
+Queries of neighbouring cells come together, and search the cells nearest to most of them first. Of up
+to ``COLUMNS`` vectors in the first ``PROBES`` cells those with the best estimates are compared exactly;
+what they reach is a bound that real neighbours pass. Of all vectors only those are reranked exactly, in
 double precision, whose estimate plus its error reaches the bound, and whole cells are left out whose
-centre and radius show that they cannot. So what is lost is only what lies outside ``EPSILON``
-deviations of its estimate.
+centre and radius show that they cannot. The bound rises with what is found, so queries far from the
+first cells don't let everything through. What is lost is only what lies outside ``EPSILON`` deviations
+of its estimate.
 
 Games over ``WHOLE`` vectors are a grid of blocks of queries (about ``BLOCK``, at most ``BLOCKS`` a
 game) and parts of up to ``PART`` vectors to search; a task has one block and one part. Where a game has
@@ -20,6 +22,7 @@ several parts, the best of each part are ranked again.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,15 @@ EPSILON = 3.0
 QUERY_ROWS = 256
 #: Best estimates that are compared exactly first.
 FIRST = 64
-#: Vectors that a task searches, blocks of queries a game, and estimates held at once by one run of queries.
+#: Cells whose queries come together, nearest cells by which a query says where to look first, and vectors of a cell looked at at once.
+TOGETHER, VOTES, TILE = 16, 4, 1024
+#: Vectors that a task searches, blocks of queries a game, and vectors compared exactly at once with one run of queries.
 PART, BLOCKS, COLUMNS = 262_144, 64, 4096
 #: Rounding of single-precision estimates, with a margin.
 ROUNDING = 2e-6
 
 
+@cache
 def rotation(dim: int) -> np.ndarray:
     """The fixed random rotation of all codes."""
     q, r = np.linalg.qr(np.random.default_rng(20240229).standard_normal((dim, dim)))
@@ -74,7 +80,7 @@ def _centres(x: np.ndarray, cell: int, cells: int) -> np.ndarray:
     k = int(min(max(1, round(len(x) / cell)), cells))
     x = x[np.random.default_rng(7).permutation(len(x))[: SAMPLE * k]]
     c = x[:k]
-    for _ in range(4):
+    for _ in range(4 if k > 1 else 1):
         total = np.zeros_like(c)
         np.add.at(total, _nearest(x, c), x)
         size = np.linalg.norm(total, axis=1)
@@ -82,6 +88,19 @@ def _centres(x: np.ndarray, cell: int, cells: int) -> np.ndarray:
     return c
 
 
+def _raised(top: np.ndarray, i: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """The best values of every row of ``top``, its least first, after some more: ``cos`` in rows ``i``."""
+    k = top.shape[1]
+    better = cos > top[i, 0]
+    i, cos = i[better], cos[better]
+    order = np.lexsort((-cos, i))
+    i, cos = i[order], cos[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    new = np.full_like(top, -2.0)
+    new[i[rank < k], rank[rank < k]] = cos[rank < k]
+    return np.sort(np.concatenate([top, new], axis=1), axis=1)[:, k:]
+
+
 class Codes:
     """Packed sign bits of vectors in cells, and the scalars that make estimates of inner products from them."""
 
@@ -89,7 +108,7 @@ class Codes:
     SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T
 
     def __init__(self, x: np.ndarray, at: np.ndarray, cells: int, epsilon: float):
-        dim = x.shape[1]
+        dim, self.kept = x.shape[1], {}
         self.turn = rotation(dim)
         count = np.maximum(np.bincount(at, minlength=cells), 1)
         mean = np.zeros((cells, dim))
@@ -98,35 +117,56 @@ class Codes:
         res = x - self.mean[at]
         norm = np.linalg.norm(res, axis=1)
         y = (res / np.maximum(norm, 1e-12)[:, None]) @ self.turn
-        self.packed = np.packbits(y > 0, axis=1)
+        packed = np.packbits(y > 0, axis=1)
+        self.codes = np.ascontiguousarray(packed.T).astype(np.intp)
         fit = np.maximum(np.abs(y).sum(axis=1) / np.sqrt(dim), 1e-6)
-        self.scale = (norm / fit / np.sqrt(dim)).astype(np.float32)
-        self.wide = (norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * epsilon / np.sqrt(dim - 1)).astype(np.float32)
+        # not 0, for a vector that is its cell's mean: it divides below
+        self.scale = np.maximum(norm / fit / np.sqrt(dim), 1e-9).astype(np.float32)
+        wide = norm * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * epsilon / np.sqrt(dim - 1)
         # what the mean of the own cell adds to an estimate
         of = np.zeros(len(x), np.float32)
         table = self.tables(self.mean)
-        for byte in range(self.packed.shape[1]):
-            of += table[byte, self.packed[:, byte], at]
+        for byte, code in enumerate(self.codes):
+            of += table[byte, code, at]
         self.base = (np.einsum("nd,nd->n", self.mean[at], res) - self.scale * of).astype(np.float32)
+        self.factors = (np.stack([np.ones(len(x)), -self.base, -wide], axis=1) / self.scale[:, None]).astype(np.float32)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Sums of each byte's possible signs with the rotated vectors: (byte, 256, vector)."""
         turned = (q @ self.turn).astype(np.float32).reshape(len(q), -1, 8)
         return np.ascontiguousarray(np.matmul(turned.transpose(1, 0, 2), self.SIGNS).transpose(0, 2, 1))
 
-    def estimates(self, table: np.ndarray, to_mean: np.ndarray, away: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimates, upper ends of their errors) of the cosines of some vectors with queries, given by their tables: (vector, query)."""
-        code, at = self.packed[cols], self.at[cols]
-        est = table[0][code[:, 0]]
-        for byte in range(1, code.shape[1]):
-            est += table[byte][code[:, byte]]
+    def estimates(self, table: np.ndarray, to_mean: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Estimates of the cosines of some vectors with queries, given by their tables: (vector, query)."""
+        est = table[0][self.codes[0, cols]]
+        for byte in range(1, len(self.codes)):
+            est += table[byte][self.codes[byte, cols]]
         est *= self.scale[cols][:, None]
         est += self.base[cols][:, None]
-        est += to_mean[at]
-        upper = away[at]
-        upper *= self.wide[cols][:, None]
-        upper += est
-        return est, upper
+        est += to_mean[self.at[cols]]
+        return est
+
+    def reaching(self, table: np.ndarray, to_mean: np.ndarray, away: np.ndarray, least: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Which of the vectors from ``start`` to ``end``, all of one cell, may reach ``least`` of some query by the upper end of their error.
+
+        What the sum of table entries must be for that is a product of three factors a vector and three a query.
+        """
+        need, total, entry = (self.room(n, (end - start, len(least))) for n in ("need", "total", "entry"))
+        asked = np.empty((3, len(least)), np.float32)
+        np.subtract(least, to_mean, out=asked[0])
+        asked[1], asked[2] = 1, away
+        np.matmul(self.factors[start:end], asked, out=need)
+        table[0].take(self.codes[0, start:end], axis=0, out=total, mode="clip")
+        for byte in range(1, len(self.codes)):
+            total += table[byte].take(self.codes[byte, start:end], axis=0, out=entry, mode="clip")
+        return start + np.flatnonzero(np.greater_equal(total, need, out=self.room("reaching", need.shape, bool)).any(axis=1))
+
+    def room(self, name: str, shape: tuple[int, int], kind: type = np.float32) -> np.ndarray:
+        """An array with any content that is kept for its name: fresh memory costs more than the sums made in it."""
+        flat, n = self.kept.get(name), shape[0] * shape[1]
+        if flat is None or len(flat) < n:
+            flat = self.kept[name] = np.empty(n, kind)
+        return flat[:n].reshape(shape)
 
 
 def search_cells(
@@ -147,48 +187,67 @@ def search_cells(
     radius[full] = np.arccos(np.clip(np.minimum.reduceat(np.einsum("nd,nd->n", x[b], c[at]), first[full]), -1, 1))
     codes = Codes(x[b], at, len(c), epsilon)
     size = np.einsum("nd,nd->n", codes.mean, codes.mean)
-    q = q[np.argsort(_nearest(x[q], c), kind="stable")]
+    own = _nearest(x[q], c)
+    # queries of cells that lie together come together: most cells are then left out for all of them
+    q = q[np.lexsort((own, _nearest(c, _centres(c, TOGETHER, cells))[own]) if len(c) > TOGETHER else (own,))]
+    single = x[b].astype(np.float32)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(q), QUERY_ROWS):
         rows = q[a : a + QUERY_ROWS]
+        asked = x[rows].astype(np.float32)
         table = codes.tables(x[rows])
         exact = x[rows] @ codes.mean.T
         away = np.ascontiguousarray(np.sqrt(np.maximum(1 - 2 * exact + size, 0)).astype(np.float32).T)
         to_mean = np.ascontiguousarray(exact.astype(np.float32).T) + np.float32(ROUNDING)
-        to = np.clip(x[rows] @ c.T, -1, 1)
-
-        single = x[rows].astype(np.float32)
+        to = np.clip(c @ x[rows].T, -1, 1)
+
+        # cells that are among the nearest of most queries come first
+        votes = np.bincount(np.argpartition(-to[full], min(VOTES, len(full)) - 1, axis=0)[:VOTES].ravel(), minlength=len(full))
+        scan = full[np.lexsort((-to[full].max(axis=1), -votes))]
+        near = scan[:probes]
+        near = near[: max(1, np.searchsorted(np.cumsum(first[near + 1] - first[near]), COLUMNS))]
+        cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in near])[:COLUMNS]
+        # the k-th of a few that look best, exactly: no real neighbour is below it; one more, for the query itself may be among them
+        m = min(FIRST, len(cols))
+        best = cols[np.argpartition(np.ascontiguousarray(codes.estimates(table, to_mean, cols).T), len(cols) - m, axis=1)[:, len(cols) - m :]]
+        cos = np.einsum("qmd,qd->qm", x[b[best]], x[rows])
+        cos[b[best] == rows[:, None]] = -2
+        bound = np.partition(cos, m - k, axis=1)[:, m - k] if m >= k else np.full(len(rows), -2.0)
 
-        def passing(cols: np.ndarray, upper: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """(query, vector, cosine) of the vectors that may reach the bound of some query; a query is none of its own neighbours."""
-            least = (bound - tie).astype(np.float32)
-            of = b[cols[(upper >= least).any(axis=1)]]
+        def passing(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(query, vector, cosine) of the vectors that reach the bound of some query; a query is none of its own neighbours."""
             # in single precision first, so that double precision has little left
-            j, i = np.nonzero(x[of].astype(np.float32) @ single.T >= least - np.float32(ROUNDING))
-            j = of[j]
+            shape = len(cols), len(rows)
+            cos = np.matmul(single[cols], asked.T, out=codes.room("cosines", shape))
+            reach = np.greater_equal(cos, (bound - tie - ROUNDING).astype(np.float32), out=codes.room("passing", shape, bool))
+            some = np.flatnonzero(reach.any(axis=1))
+            j, i = np.nonzero(reach[some])
+            j = b[cols[some[j]]]
             other = rows[i] != j
             i, j = i[other], j[other]
             cos = np.einsum("nd,nd->n", x[rows[i]], x[j])
             keep = cos >= bound[i] - tie
             return i[keep], j[keep], cos[keep]
 
-        near = full[np.argsort(-to.max(axis=0)[full], kind="stable")[:probes]]
-        cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in near])
-        est, upper = codes.estimates(table, to_mean, away, cols)
-        # the k-th of a few that look best, exactly: no real neighbour is below it; one more, for the query itself may be among them
-        m = min(FIRST, len(cols))
-        best = cols[np.argpartition(np.ascontiguousarray(est.T), len(cols) - m, axis=1)[:, len(cols) - m :]]
-        cos = np.einsum("qmd,qd->qm", x[b[best]], x[rows])
-        cos[b[best] == rows[:, None]] = -2
-        bound = np.partition(cos, m - k, axis=1)[:, m - k] if m >= k else np.full(len(rows), -2.0)
-        hits = [passing(cols, upper, bound)]
         # the largest cosine that a vector of the cell can have with the query
-        most = np.cos(np.maximum(np.arccos(to) - radius - 1e-7, 0))
-        more = np.setdiff1d(full[(most >= (bound - tie)[:, None]).any(axis=0)[full]], near)
-        cols = np.concatenate([np.arange(first[n], first[n + 1]) for n in more]) if len(more) else np.empty(0, np.int64)
-        for d in range(0, len(cols), COLUMNS):
-            some = cols[d : d + COLUMNS]
-            hits.append(passing(some, codes.estimates(table, to_mean, away, some)[1], bound))
+        most = np.cos(np.maximum(np.arccos(to) - radius[:, None] - 1e-7, 0))
+        tiles = [(n, s, min(s + TILE, first[n + 1])) for n in scan for s in range(first[n], first[n + 1], TILE)]
+        top = np.full((len(rows), k), -2.0)
+        least = (bound - tie).astype(np.float32)
+        hits, held, count = [], [], 0
+        for turn, (n, s, e) in enumerate(tiles, 1):
+            if (most[n] >= bound - tie).any():
+                held.append(codes.reaching(table, to_mean[n], away[n], least, s, e))
+                count += len(held[-1])
+            if count >= COLUMNS or (count and turn == len(tiles)):
+                hits.append(passing(np.concatenate(held)))
+                held, count = [], 0
+                # the k best so far are a bound, too
+                top = _raised(top, *hits[-1][::2])
+                bound = np.maximum(bound, top[:, 0])
+                least = (bound - tie).astype(np.float32)
+        if not hits:
+            continue
         i, j, cos = (np.concatenate(h) for h in zip(*hits))
         if not len(i):
             continue

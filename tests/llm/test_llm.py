@@ -110,6 +110,24 @@ def test_neighbours_of_large_games_are_all_found(spark):
     assert {tuple(r) for r in neighbours.nearest(d, **options, part=1100).collect()} == want
 
 
+def test_neighbours_of_queries_far_from_the_first_cells_are_found_with_few_comparisons(monkeypatch):
+    # narrow clusters have the cells nearest to any query; those of wide ones are none of them
+    r = np.random.default_rng(4)
+    spread = np.repeat([0.02, 0.02, 0.12, 0.12, 0.12, 0.12], 1000)
+    x = np.repeat(r.standard_normal((6, 32)) / 32**0.5, 1000, axis=0) + spread[:, None] * r.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    compared, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda spec, *of: (compared.append(len(of[0])) if spec == "nd,nd->n" else None, einsum(spec, *of))[1])
+    every = np.ones(6000, bool)
+    a, b, cos = neighbours.search_cells(np.arange(6000), x, every, every, cell=100, probes=4)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= np.sort(s, axis=1)[:, -5:-4] - 1e-6))}
+    got = set(zip(a.tolist(), b.tolist()))
+    assert got <= want and len(got) >= 0.998 * len(want)
+    assert sum(compared) < 100 * 6000
+
+
 def edited(words, r, share):
     return [r.choice(words) + "x" if r.random() < share else w for w in words]
 
