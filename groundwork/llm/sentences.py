@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,10 @@ LEAST_SEEN = 3
 COMMON_WORDS = 120
 #: Rows of a learned table that may travel to the tasks; more are an error, for none may be dropped.
 LEARNED_ROWS = 200_000
+#: Sums a task holds before it gives them away, and characters of texts whose raw sums it holds before.
+HELD_SUMS, HELD_CHARS = 200_000, 4_000_000
+#: Words remembered with what is known of them, and the characters up to which a word is.
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 
 #: Sentence ends, closing and opening quotes and brackets, list marks, line ends.
 STOPS = ".!?…。！？｡।॥؟۔"
@@ -44,12 +49,13 @@ STOP_SIGN, STOP_OR_SPACE = re.compile(f"[{STOPS}]"), re.compile(f"[{STOPS}\\s]")
 SHIELD = re.compile("[" + re.escape("".join({*QUOTES, *"".join(QUOTES.values()), *BRACKETS, *BRACKETS.values(), '"'})) + "]")
 NEWLINE = r"(?:\r\n|\r|\n|\x85| | )"
 BLANK = re.compile(NEWLINE + r"[^\S\r\n\x85  ]*" + NEWLINE + r"\s*")
-LINE = re.compile(NEWLINE)
 MARK = re.compile(r"\s*(?:[-–—*•·▪◦‣]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])[^\S\r\n]+(?=\S)")
+MARKED_LINE = re.compile(f"{NEWLINE}(?={MARK.pattern})")
 #: Combining marks of the scripts that write vowels and tones with them.
 MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0962\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"
 _WORD = rf"[^\W\d_][\w{MARKS}]*(?:[-'’·.][^\W\d_][\w{MARKS}]*)*|\d+(?:[.,]\d+)*"
 TOKEN = re.compile(_WORD)
+ALNUM = re.compile(r"[^\W_]")
 #: An end sign before whitespace, closing signs or the end.
 SIGN = re.compile(r"[.!?](?=[\s\"'”’»“)\]]|$)")
 THAI = re.compile(r"[฀-๿]")
@@ -68,13 +74,10 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
     spans.append((at, len(text)))
     for a, b in spans:
         starts = [a]
-        if MARK.match(text, a, b):
-            starts += [m.end() for m in LINE.finditer(text, a, b) if MARK.match(text, m.end(), b)]
-        else:
-            # a list may follow its lead-in directly
-            inner = [m.end() for m in LINE.finditer(text, a, b) if MARK.match(text, m.end(), b)]
-            if len(inner) > 1:
-                starts += inner
+        inner = [m.end() for m in MARKED_LINE.finditer(text, a, b)]
+        # a list may follow its lead-in directly
+        if len(inner) > 1 or inner and MARK.match(text, a, b):
+            starts += inner
         for s, e in zip(starts, [*starts[1:], b]):
             while e > s and text[e - 1].isspace():
                 e -= 1
@@ -107,26 +110,65 @@ def shielded(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+class Memo(dict):
+    """The languages of which a word, as it stands between blanks, is a common one."""
+
+    def __init__(self, common: dict[str, list[str]]):
+        self.common = common
+
+    def __missing__(self, word: str) -> Iterable[str]:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        known = self[word] = self.common.get(word.strip(EDGES), ())
+        return known
+
+
 class Learned:
     """What the statistics of one run say about words, by language."""
 
     def __init__(self, rows: Iterable[tuple[str, str, str]]):
         self.kinds: dict[str, set] = defaultdict(set)
         self.common: dict[str, list[str]] = defaultdict(list)
-        self.memo: dict[str, list[str] | tuple] = {}
+        self.paired: set[tuple[str, str]] = set()
+        self.languages = Memo(self.common)
+        self.periods: dict[tuple[str, str], tuple | None] = {}
         for kind, lang, word in rows:
             self.kinds[kind].add((lang, word))
             if kind == "common":
                 self.common[word].append(lang)
-
-    def languages(self, word: str) -> Iterable[str]:
-        """The languages of which a word, as it stands between blanks, is a common one."""
-        known = self.memo.get(word)
-        if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            known = self.memo[word] = self.common.get(word.strip(EDGES), ())
-        return known
+            elif kind == "pair":
+                self.paired.add((lang, word.partition(" ")[0]))
+
+    def period(self, text: str, a: int, k: int, lang: str) -> tuple | None:
+        """``about`` the word that ends right before the period at ``k``, looked up once for what stands between blanks."""
+        s = text.rfind(" ", max(a, k - MEMO_CHARS), k) + 1
+        if not s:
+            if a < k - MEMO_CHARS:
+                return self.about(before(text, a, k), lang)
+            s = a
+        key = (lang, text[max(s, text.rfind("\n", s, k) + 1) : k])
+        try:
+            return self.periods[key]
+        except KeyError:
+            if len(self.periods) > MEMO_WORDS:
+                self.periods.clear()
+            known = self.periods[key] = self.about(before(key[1], 0, len(key[1])), lang)
+            return known
+
+    def about(self, word: str, lang: str) -> tuple | None:
+        """(its last part, begins pairs, ordinal, abbreviation or initial, initial, also ends sentences) of a word; None if it is nothing of that."""
+        low, short = word.lower(), _parts(word)
+        abbreviation = self.has("abbreviation", lang, low) or self.has("abbreviation", lang, short)
+        initial = len(word) == 1 and word.isalpha() and (word.isupper() or abbreviation)
+        if "." in word and len(word) <= 6 and all(len(p) <= 2 for p in word.split(".")):
+            abbreviation = True
+        paired = (lang, short) in self.paired
+        # ordinals: a number with a period goes on unless a starter follows
+        ordinal = word.isdigit() and self.has("ordinal", lang, "#")
+        open_ = bool(word) and (abbreviation or initial)
+        if not (paired or ordinal or open_):
+            return None
+        return short, paired, ordinal, open_, initial, self.has("closing", lang, low) or self.has("closing", lang, short)
 
     def has(self, kind: str, lang: str, word: str) -> bool:
         return (lang, word) in self.kinds[kind]
@@ -147,6 +189,8 @@ def _parts(word: str) -> str:
 def ends(text: str, lang: str, learned: Learned) -> list[int]:
     """Offsets just behind each sentence of a text."""
     out: list[int] = []
+    m = SHIELD.search(text)
+    shield = m.start() if m else len(text)
     for a, b in blocks(text):
         body = a
         m = MARK.match(text, a, b)
@@ -156,7 +200,7 @@ def ends(text: str, lang: str, learned: Learned) -> list[int]:
             out.append(b)
             continue
         thai = lang == "th" and bool(THAI.search(text, a, b))
-        spans = shielded(text, a, b)
+        spans = shielded(text, a, b) if shield < b else ()
         inside = 0
         k = body
         cuts = []
@@ -197,9 +241,9 @@ def ends(text: str, lang: str, learned: Learned) -> list[int]:
         for c in [*cuts, b]:
             while c > at and text[c - 1].isspace():
                 c -= 1
-            if text[at:c].strip():
+            if c > at:
                 # signs without words (an emoji behind the period) belong to the sentence before
-                if not any(ch.isalnum() for ch in text[at:c]) and out and out[-1] > a and not any(ch in STOPS for ch in text[at:c]):
+                if out and out[-1] > a and not ALNUM.search(text, at, c) and not STOP_SIGN.search(text, at, c):
                     out[-1] = c
                 else:
                     out.append(c)
@@ -261,42 +305,37 @@ def _thai_end(text: str, a: int, b: int, k: int, learned: Learned) -> bool:
 def _stops(text: str, a: int, b: int, k: int, e: int, f: int, lang: str, learned: Learned) -> bool:
     """Whether the signs ``text[k:e]``, closed at ``f``, end a sentence."""
     c = text[k]
-    n = _next(text, f, b)
     if c in WIDE or c in "؟۔":
         return True
+    n = _next(text, f, b)
     if n == f and not (WIDE_SCRIPT.match(text[n]) and c in "!?…"):
         return False
     nxt = text[n]
-    first = _opens(text, n, b)
-    if text[k:e].strip(".") == "" and e - k >= 2 or text[k:e] == "…":
-        return bool(first) and not first.islower() and not first.isdigit()
-    if c in "!?":
-        return not (first.isalpha() and first.islower() and nxt == first)
-    word = before(text, a, k)
-    low = word.lower()
-    if nxt in ",;:)–—" and nxt not in "–—":
+    first = nxt if nxt.isalnum() else _opens(text, n, b)
+    if c != "." or e - k > 1:
+        if text[k:e].strip(".") == "" or text[k:e] == "…":
+            return bool(first) and not first.islower() and not first.isdigit()
+        if c in "!?":
+            return not (first.isalpha() and first.islower() and nxt == first)
+    if nxt in ",;:)":
         return False
     if nxt == first and first.isalpha() and first.islower() and first != first.upper():
         follow = TOKEN.match(text, n)
         # names may start small (eXpand); a word that starts sentences ends this one
         return bool(follow) and any(x.isupper() for x in follow.group()[1:])
+    known = learned.period(text, a, k, lang)
+    if known is None:
+        return True
+    short, paired, ordinal, open_, initial, closing = known
     follow = TOKEN.search(text, n, b)
     after = follow.group().lower() if follow else ""
-    if after and (learned.has("pair", lang, f"{_parts(word)} {'#' if after[0].isdigit() else after}")):
+    if paired and after and learned.has("pair", lang, f"{short} {'#' if after[0].isdigit() else after}"):
         return False
-    short = _parts(word)
-    abbreviation = learned.has("abbreviation", lang, low) or learned.has("abbreviation", lang, short)
-    initial = len(word) == 1 and word.isalpha() and (word.isupper() or abbreviation)
-    if "." in word and len(word) <= 6 and all(len(p) <= 2 for p in word.split(".")):
-        abbreviation = True
-    if not word:
-        return True
-    if word.isdigit() and learned.has("ordinal", lang, "#"):
-        # ordinals: a number with a period goes on unless a starter follows
+    if ordinal:
         return not after or after[0].isdigit() or learned.has("starter", lang, after)
-    if not abbreviation and not initial:
+    if not open_:
         return True
-    if learned.has("closing", lang, low) or learned.has("closing", lang, short):
+    if closing:
         # abbreviations that also end sentences: what follows decides
         return bool(after) and (learned.has("starter", lang, after) or first.isupper())
     return bool(after) and learned.has("starter", lang, after) and not initial
@@ -332,49 +371,73 @@ def main_language(text: str, lang: str | None, learned: Learned) -> str:
     own = labelled(text, lang)
     if own in ("th", "wide", "hi") or not learned.common:
         return own
-    seen: dict[str, int] = {}
     # words between blanks, without the signs at their ends
-    for x in set(text.lower().split()):
-        for code in learned.languages(x):
-            seen[code] = seen.get(code, 0) + 1
+    seen = Counter(chain.from_iterable(map(learned.languages.__getitem__, set(text.lower().split()))))
     return max(seen, key=lambda x: (seen[x], x == own, x)) if seen else own
 
 
-def count(text: str, lang: str, c: Counter) -> None:
-    """Adds a text's sums: all words, words with a period and what follows it, words at starts."""
-    numbers = 0
-    for w, n in Counter(TOKEN.findall(text.lower())).items():
-        if w[0].isdigit():
-            numbers += n
-        else:
-            c[("n", lang, w, "")] += n
-    if numbers:
-        c[("n", lang, "#", "")] += numbers
-    for a, b in blocks(text):
-        m = MARK.match(text, a, b)
-        first = TOKEN.search(text, m.end() if m else a, b)
-        if first:
-            c[("s", lang, _low(first.group()), "")] += 1
-        for m in SIGN.finditer(text, a, b):
-            k = m.start()
-            space = max(text.rfind(" ", a, k), text.rfind("\n", a, k), a - 1, k - 40)
-            words = TOKEN.findall(text, space + 1, k)
-            if not words or not text.endswith(words[-1], a, k):
-                continue
-            follow = TOKEN.search(text, m.end(), b)
-            nxt = follow.group() if follow else ""
-            if m.group() != ".":
-                if nxt:
-                    c[("s", lang, _low(nxt), "")] += 1
-                continue
-            low = _low(words[-1])
-            c[("p", lang, low, "")] += 1
-            if not nxt:
-                c[("e", lang, low, "")] += 1
-                continue
-            c[("o", lang, low, _low(nxt))] += 1
-            if nxt.islower():
-                c[("l", lang, low, "")] += 1
+class Sums:
+    """Sums of texts by (kind, language, word, follower): all words, words with a period and what follows it, words at starts.
+
+    A text adds raw sums, of what stands between blanks and of signs with their surroundings; what those
+    say about words is worked out once for all that are alike.
+    """
+
+    def __init__(self) -> None:
+        self.sums: Counter = Counter()
+        self.raw: dict[str, tuple[Counter, Counter, Counter]] = defaultdict(lambda: (Counter(), Counter(), Counter()))
+        self.chars = 0
+
+    def add(self, text: str, lang: str) -> None:
+        pieces, firsts, signs = self.raw[lang]
+        # no word goes over a blank
+        pieces.update(text.lower().split())
+        heads, seen = [], []
+        for a, b in blocks(text):
+            m = MARK.match(text, a, b)
+            first = TOKEN.search(text, m.end() if m else a, b)
+            if first:
+                heads.append(first.group())
+            for m in SIGN.finditer(text, a, b):
+                k = m.start()
+                s = max(a, k - 39)
+                s = max(s, text.rfind(" ", s, k) + 1)
+                s = max(s, text.rfind("\n", s, k) + 1)
+                follow = TOKEN.search(text, m.end(), b)
+                seen.append((text[s : k + 1], follow.group() if follow else ""))
+        firsts.update(heads)
+        signs.update(seen)
+        self.chars += len(text)
+        if self.chars > HELD_CHARS:
+            self.fold()
+
+    def fold(self) -> None:
+        """Raw sums become sums of words."""
+        c = self.sums
+        for lang, (pieces, firsts, signs) in self.raw.items():
+            for x, n in pieces.items():
+                for w in TOKEN.findall(x):
+                    c["n", lang, "#" if w[0].isdigit() else w, ""] += n
+            for w, n in firsts.items():
+                c["s", lang, _low(w), ""] += n
+            for (x, nxt), n in signs.items():
+                words = TOKEN.findall(x, 0, len(x) - 1)
+                if not words or not x.endswith(words[-1], 0, len(x) - 1):
+                    continue
+                if x[-1] != ".":
+                    if nxt:
+                        c["s", lang, _low(nxt), ""] += n
+                    continue
+                low = _low(words[-1])
+                c["p", lang, low, ""] += n
+                if not nxt:
+                    c["e", lang, low, ""] += n
+                    continue
+                c["o", lang, low, _low(nxt)] += n
+                if nxt.islower():
+                    c["l", lang, low, ""] += n
+        self.raw.clear()
+        self.chars = 0
 
 
 def _low(word: str) -> str:
@@ -393,9 +456,10 @@ def learn(df: DataFrame) -> list[tuple[str, str, str]]:
     """(kind, language, word) of what the documents teach, out of (text, lang); counts cover every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        held = Sums()
 
         def flush():
+            c = held.sums
             keys = list(c)
             cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
             out = pa.RecordBatch.from_arrays([*cols, pa.array([c[k] for k in keys], pa.int64())], names=["kind", "lang", "a", "b", "n"])
@@ -405,10 +469,11 @@ def learn(df: DataFrame) -> list[tuple[str, str, str]]:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    count(text, labelled(text, lang), c)
-                if len(c) > 200_000:
+                    held.add(text, labelled(text, lang))
+                if len(held.sums) > HELD_SUMS:
                     yield flush()
-        if c:
+        held.fold()
+        if held.sums:
             yield flush()
 
     sums = df.select("text", "lang").mapInArrow(run, "kind string, lang string, a string, b string, n bigint")

@@ -254,6 +254,25 @@ def test_sentences():
     assert cut("") == [] and cut("  \n ") == []
 
 
+def test_sentences_examine_alike_words_once(monkeypatch):
+    """A word before a period is examined once, however often it stands there; sums are the same however long they are held raw."""
+    calls, plain = [], sentences.before
+    monkeypatch.setattr(sentences, "before", lambda *a: calls.append(a) or plain(*a))
+    known = sentences.Learned([("abbreviation", "de", "dr"), ("pair", "de", "dr wendig"), ("starter", "de", "das")])
+    assert len(sentences.ends("Das Tor bleibt zu. Dr. Wendig kommt.\n" * 300, "de", known)) == 600 and len(calls) <= 3
+    long = "Das " + "x" * 200 + "-Dr. Wendig kommt."
+    assert sentences.ends(long, "de", known) == [len(long)] and len(sentences.ends(long, "en", known)) == 2
+    want = {"n": {"der": 2, "preis": 2, "z": 2, "b": 2, "#": 1, "taler": 1, "zwei": 1, "ende": 1}, "p": {"z": 2, "b": 2, "taler": 1}, "l": {"b": 1, "taler": 1}, "s": {"der": 1, "ende": 1},
+            "o": {("z", "b"): 2, ("b", "#"): 1, ("b", "zwei"): 1, ("taler", "der"): 1}}
+    for chars in (1, 100, sentences.HELD_CHARS):
+        monkeypatch.setattr(sentences, "HELD_CHARS", chars)
+        held = sentences.Sums()
+        for _ in range(3):
+            held.add("Der Preis z. B. 14 Taler. der Preis z. B. zwei! Ende", "de")
+        held.fold()
+        assert held.sums == {(kind, "de", *(w if kind == "o" else (w, ""))): 3 * n for kind, words in want.items() for w, n in words.items()}
+
+
 def test_scan_repair():
     known = ocr.Knowledge({"begjnnt": "beginnt"}, {"nord-süd"}, {"@ anleitung"}, {"g\nkapitel # im wald"})
     assert ocr.examine("Kapitel 3 im Wald\nDas Tor ist zu.", 1, "g", known)[0] == ["kopfzeile"] and ocr.examine("Kapitel 3 im Wald\nDas Tor.", 1, "h", known)[0] == []
