@@ -1,5 +1,8 @@
+import difflib
 import json
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +65,79 @@ def test_names(spark):
     assert both["gleich"] == ("unbekannt", ["A", "B"]) and both["gleicx"][0] == "unbekannt"
 
 
+def resolved_plainly(asked, names):
+    """The rule of ``resolved``, every key asked against every spelling (``names``: sets of spellings by name)."""
+    out, several = {}, len(names) > 1
+    for n in asked:
+        if exact := sorted(x for x, forms in names.items() if n in forms):
+            out[n] = ("treffer" if len(exact) == 1 else "unbekannt", exact)
+            continue
+        hits, guesses = {}, {}
+        for x, forms in names.items():
+            for f in forms:
+                r, length = difflib.SequenceMatcher(None, n, f, autojunk=False).ratio(), min(len(n), len(f)) / max(len(n), len(f))
+                if r >= N.HIT and (not several or length >= N.LENGTHS):
+                    hits[x] = max(r, hits.get(x, 0))
+                if r >= (N.SUGGEST if several else N.SUGGEST_ALONE) and (not several or length >= N.SUGGEST_LENGTHS):
+                    guesses[x] = max(r, guesses.get(x, 0))
+        close = {x: r for x, r in hits.items() if max(hits.values()) - r < N.CLOSE}
+        out[n] = ("treffer" if len(close) == 1 else "unbekannt", sorted(close or guesses, key=lambda x: (-(close or guesses)[x], x)))
+    return out
+
+
+def made_names(r, n, signs, longest):
+    parts = ["".join(r.choices(signs, k=r.randint(1, longest))) for _ in range(9)]
+    return {f"Name {i}": {"".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(r.randint(1, 3))} for i in range(n)}
+
+
+@pytest.mark.parametrize("n, signs, longest", [(60, "abc", 5), (60, "abcdefgh日é𠀀", 9), (40, "abcdefgh", 40), (1, "abc", 5)])
+def test_names_as_compared_plainly(spark, monkeypatch, n, signs, longest):
+    monkeypatch.setattr(N, "LEAST_ASKED", 20)
+    r = random.Random(n + longest)
+    names = made_names(r, n, signs, longest)
+    forms = sorted(f for x in names.values() for f in x)
+    asked = {"z"}
+    for f in forms + r.choices(forms, k=30):
+        i = r.randrange(len(f))
+        asked |= {f, f[:i] + f[i + 1 :] or "z", f[:i] + r.choice(signs) + f[i:], f[: r.randint(1, len(f))]}
+    c = spark.createDataFrame([(x, f) for x, y in names.items() for f in y], "name string, form string")
+    # spellings in several blocks too
+    monkeypatch.setattr(N.alike, "__defaults__", (None, 25))
+    got = {x.anfrage: (x.art, x.namen) for x in N.resolved(spark.createDataFrame([(x,) for x in asked], "anfrage string"), c).collect()}
+    assert got == resolved_plainly(asked, names)
+
+
+def test_common_subsequences():
+    r = random.Random(5)
+
+    def plainly(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+        return row[-1]
+
+    forms = ["".join(r.choices("abcd日", k=k)) for k in [1, 1, 2, 5, 9, 63, 64, 65, 130]]
+    held = N.Spellings(forms)
+    for k in [1, 2, 9, 63, 64, 65, 130]:
+        n = "".join(r.choices("abcdx", k=k))
+        assert held.common(n, 0, len(forms)).tolist() == [plainly(n, f) for f in held.forms]
+        assert held.common(n, 3, 7).tolist() == [plainly(n, f) for f in held.forms[3:7]]
+
+
+def test_names_of_a_large_catalogue(spark):
+    heads = ["".join(x) for x in zip(*[iter("abendbergdorfeicheforstgartenhafeninselklosterlaternemondnebelsonnewaldwolke")] * 3)]
+    ends = [" am Fluss", " für Zwei", " – Die Rückkehr", ": Aufbruch", " der Gilden"]
+    names = [f"{a}{b}{c}{e}" for a in heads for b in heads for c in ("wacht", "pfad") for e in ends][:4000]
+    c = N.catalogue(spark.createDataFrame([(x, None) for x in names], "name string, aliase array<string>"), "name", "aliase")
+    began = time.time()
+    got = N.resolved(spark.createDataFrame([(x[:3] + x[4:],) for x in names], "anfrage string"), c).collect()
+    assert len(got) == len({x[:3] + x[4:] for x in names}) and all(x.namen for x in got)
+    # not ended after 200 s when all spellings of about the same length were compared
+    assert time.time() - began < 60
+
+
 def test_judging(spark):
     rows = [("s1", "falsch", "richtig", "a"), ("s1", "falsch", "richtig", "b"), ("s1", "falsch", "falsch", "a"), ("s2", "falsch", "falsch", None), ("s2", "falsch", "unsicher", None), ("s1", "richtig", "falsch", None), ("s1", "richtig", "richtig", None)]
     d = spark.createDataFrame(rows, "spiel_id string, label string, urteil string, fehlerart string")
